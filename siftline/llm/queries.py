@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import bpe, near_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,12 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup,)}
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether the text decoded from them is the text itself."""
+    docs = table(spark, sf_dir, "documents")
+    ids = bpe.encode(docs, keep=("doc_id", "text"))
+    return bpe.decode(ids).selectExpr("doc_id", "n_tokens", "token_ids", "decoded <=> text as round_trip")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe)}
 ORACLE: dict[str, str] = {}
