@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dedup
+from . import bpe, language_id, near_dedup, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +22,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids).selectExpr("doc_id", "n_tokens", "token_ids", "decoded <=> text as round_trip")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe)}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe, op3_quality, op8_language_id)}
 ORACLE: dict[str, str] = {}
