@@ -24,6 +24,7 @@ from . import hashed_lr as lr
 DROP = 0.5
 ORDERS = (3, 4, 5)
 BITS = 13
+RIDGE = 0.02
 _HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?P<host>[^/?#:]+)"
 _PATH = r"^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*(?P<path>[^?#]*)"
 
@@ -38,7 +39,10 @@ porn-free.test/tube payday-loans.test/apply quick-loans.test/cash loan-fast.test
 make-money.test/fast earn-cash.test/home get-rich.test/crypto crypto-double.test/bitcoin free-bitcoin.test/claim
 free-iphone.test/winner free-gift.test/card free-money.test/win cheap-followers.test/buy buy-likes.test/cheap
 warez-crack.test/keygen free-cracks.test/serial torrent-hub.test/crack malware-drop.test/exe phish-login.test/verify
-account-verify.test/login-secure bank-login-update.test/confirm cheap-tickets-win.test/prize spam-farm-net.test/index""".split()
+account-verify.test/login-secure bank-login-update.test/confirm cheap-tickets-win.test/prize spam-farm-net.test/index
+m.casino-slots.example.net/en/412 www.win-casino.example.org/de/88.html bets-free.example.net/fr/731 blog.free-poker.example.com/en/9/
+www.pills-cheap.example.org/es/57 buy-cheap-meds.example.net/en/640 m.link-spam-farm.example.com/en/77 seo-spam.example.net/de/3051
+lucky-casino-win.example.org/en/19/ sports-bets.example.com/en/2204 www.diet-pills.example.net/fr/6.html farm-of-spam.example.org/es/811""".split()
 WANTED = """news-daily.test/world/2021/05 citynews.test/politics example-times.test/article/1234 weather-today.test/forecast
 university.test/physics/lectures college.test/library/catalog school-district.test/calendar science-journal.test/papers/77
 docs.python-guide.test/tutorial docs.database.test/reference wiki-open.test/page/History encyclopedia.test/wiki/River
@@ -51,7 +55,11 @@ music-theory.test/chords film-reviews.test/2018 theatre.test/programme bookshop.
 www.thenation.test/en/125 www.theother.test/de/8 thestory.test/fr/77 blog.there.test/es/12 m.thing.test/en/9 www.ration.test/de/3
 station-trains.test/timetable bus-routes.test/map weather.station.test/data www.nation-states.test/list blog.history.test/en
 open-data.test/sets/4 statistics.test/tables maps-online.test/tiles forum-linux.test/thread/9 questions-answers.test/q/55
-www.interior.test/home m.example-site.test/en/44.html about-us.test/contact company-report.test/annual standards.test/spec""".split()
+www.interior.test/home m.example-site.test/en/44.html about-us.test/contact company-report.test/annual standards.test/spec
+m.thorn.example.net/en/412 www.thistle.example.org/de/88.html theatres.example.net/fr/731 blog.thing-of-it.example.com/en/9/
+www.other.example.org/es/57 tions-press.example.net/en/640 m.herein.example.com/en/77 therapy.example.net/de/3051
+notion.example.org/en/19/ thousand.example.com/en/2204 www.threads.example.net/fr/6.html thunder.example.org/es/811
+blog.nation.example.com/en/5150 m.thermal.example.com/de/73/ www.thicket.example.com/fr/918 themes.example.com/es/4420.html""".split()
 LABELLED: list[tuple[str, int]] = [(f"https://{u}", 1) for u in UNWANTED] + [(f"https://{u}", 0) for u in WANTED]
 
 
@@ -71,7 +79,7 @@ def train(labelled: list[tuple[str, int]] | None = None) -> lr.Model | None:
     y = np.array([c for _, c in rows], int)
     if len(set(y)) < 2:
         return None
-    return lr.fit(features(*_split(pa.array([u for u, _ in rows], pa.string()))), y, 2)
+    return lr.fit(features(*_split(pa.array([u for u, _ in rows], pa.string()))), y, 2, RIDGE)
 
 
 def hash_of(url: str) -> int:
