@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, language_id, licence_scan, near_dedup, ogg, quality, secret_scan, url_filter
+from . import bpe, chat, language_id, licence_scan, mixing, near_dedup, ogg, quality, secret_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train())
 
@@ -57,7 +61,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe, op3_quality, op5_url_filter, op6_ogg, op7_licence_scan, op8_language_id, op9_chat, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_bpe, op3_quality, op4_mixing, op5_url_filter, op6_ogg, op7_licence_scan, op8_language_id, op9_chat, op10_secret_scan)}
 
 ORACLE: dict[str, str] = {
     "op6_ogg": """

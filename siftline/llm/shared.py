@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``durable``, but as compressed Parquet: for wider tables."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/siftline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small_side(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A durable ``small`` of a few numeric columns, hinted for broadcast if its counted rows allow it."""
     return F.broadcast(small) if small.count() <= rows else small
