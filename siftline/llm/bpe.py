@@ -27,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, code_points, durable, pieces, span_hashes, utf8
+from .shared import U64, code_points, pieces, span_hashes, utf8, written
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-DICTIONARY_BYTES = 128 << 20
+DICTIONARY_BYTES = 64 << 20
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
@@ -101,7 +101,7 @@ def _distinct_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 new = seen[np.minimum(np.searchsorted(seen, hashes), len(seen) - 1)] != hashes
                 hashes, first = hashes[new], first[new]
             seen = np.union1d(seen, hashes) if len(seen) < 1_000_000 else hashes
-            yield pa.RecordBatch.from_arrays([_binary(data, starts[first], ends[first]), pa.array(hashes.view(np.int64))], ["word", "hash"])
+            yield pa.RecordBatch.from_arrays([_binary(data, starts[first], ends[first])], ["word"])
 
 
 @cache
@@ -117,15 +117,18 @@ def _encode_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path).encode_ordinary
         for batch in batches:
-            ids = pa.array([encode(w.decode()) for w in batch.column("word").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("hash"), ids], ["word", "hash", "ids"])
+            found = batch.column("word")
+            ids = pa.array([encode(w.decode()) for w in found.to_pylist()], pa.list_(pa.int32()))
+            data, offsets = utf8(found.cast(pa.string()))
+            hashes = span_hashes(data, offsets[:-1], offsets[1:])
+            yield pa.RecordBatch.from_arrays([found, pa.array(hashes.view(np.int64)), ids], ["word", "hash", "ids"])
 
     return run
 
 
 def word_table(texts: DataFrame, path: str) -> DataFrame:
     """(word, hash, ids): each distinct word of the column ``text``, encoded once."""
-    words = texts.mapInArrow(_distinct_batches, "word binary, hash long").groupBy("word").agg(F.first("hash").alias("hash"))
+    words = texts.mapInArrow(_distinct_batches, "word binary").distinct()
     return words.mapInArrow(_encode_batches(path), "word binary, hash long, ids array<int>")
 
 
@@ -136,22 +139,38 @@ def _flat(offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(offsets[which] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0), ends
 
 
-def _lookup_batches(table, others: list[str]):
+def _lookup_batches(table, others: list[str], path: str | None):
+    """Looks words up in place; with a vocabulary's path also decodes the ids and compares."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, offsets, ids = table.value
+        hashes, lengths, ids = table.value
+        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int32)], dtype=np.int32)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 data, bounds = utf8(piece.column("text"))
                 at, counts = split(data, bounds)
                 own, inverse = np.unique(span_hashes(data, at[:-1], at[1:]), return_inverse=True)
                 positions, ends = _flat(offsets, np.searchsorted(hashes, own)[inverse])
-                bounds = np.concatenate([[0], ends])[counts]
-                lists = _lists(bounds, ids[positions].astype(np.int32), piece.column("text"))
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in others), lists], [*others, "token_ids"])
+                cuts = np.concatenate([[0], ends])[counts]
+                flat = ids[positions].astype(np.int32)
+                columns = [*(piece.column(c) for c in others), _lists(cuts, flat, piece.column("text"))]
+                if path:
+                    columns.append(pa.array(_same(flat, cuts, data, bounds, path)))
+                yield pa.RecordBatch.from_arrays(columns, [*others, "token_ids", *(["round_trip"] if path else [])])
 
     return run
 
 
+def _same(ids: np.ndarray, cuts: np.ndarray, data: np.ndarray, bounds: np.ndarray, path: str) -> np.ndarray:
+    """Which texts the decoded ids equal byte for byte."""
+    offsets, flat = _piece_table(path)
+    positions, ends = _flat(offsets, ids)
+    got, ends = flat[positions], np.concatenate([[0], ends])[cuts]
+    if np.array_equal(ends, bounds) and np.array_equal(got, data):
+        return np.ones(len(bounds) - 1, bool)
+    return np.array([np.array_equal(got[a:b], data[c:d]) for a, b, c, d in zip(ends[:-1], ends[1:], bounds[:-1], bounds[1:])], bool)
+
+
 def _lists(bounds: np.ndarray, values: np.ndarray, texts: pa.Array) -> pa.Array:
     offsets = pa.array(bounds.astype(np.int32), mask=np.append(pc.is_null(texts).to_numpy(zero_copy_only=False), False))
     return pa.ListArray.from_arrays(offsets, pa.array(values))
@@ -181,28 +200,42 @@ def _encode_by_shuffle(rows: DataFrame, words: DataFrame) -> DataFrame:
     return out.withColumn("token_ids", F.when(F.col("empty"), F.array().cast("array<int>")).otherwise(F.col("token_ids"))).drop("k1", "k2", "empty")
 
 
-def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
-    """The columns ``keep`` of each row, ``token_ids`` and ``n_tokens``."""
+def _table(words: DataFrame, most_bytes: int) -> tuple[np.ndarray, ...] | None:
+    """(sorted hashes, number of ids of each, all ids), or None if that takes more bytes or hashes collide."""
+    n, ids, top = words.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.max(F.array_max("ids")), F.lit(0))).first()
+    kind = np.uint16 if top < 1 << 16 else np.int32
+    if 10 * n + np.dtype(kind).itemsize * ids > most_bytes:
+        return None
+    got = words.select("hash", "ids").toArrow()
+    hashes, lists = got.column("hash").to_numpy().view(U64), got.column("ids").combine_chunks()
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(kind)
+    del got, lists
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    if (hashes[1:] == hashes[:-1]).any():
+        return None
+    return hashes, np.diff(offsets)[order].astype(np.int32), flat[_flat(offsets, order)[0]]
+
+
+def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", dictionary_bytes: int = DICTIONARY_BYTES, verify: bool = False) -> DataFrame:
+    """The columns ``keep`` of each row, ``token_ids`` and ``n_tokens``; with ``verify`` also ``round_trip``.
+
+    ``round_trip`` says whether the ids, decoded, give the text again (true for a null text).
+    """
     rows = docs.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("text"))
-    words = durable(word_table(rows.select("text").where("text is not null"), vocabulary))
-    n, ids = words.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
-    got, table = None, None
-    if 12 * n + 4 * ids <= dictionary_bytes:
-        got = words.select("hash", "ids").toArrow().combine_chunks().sort_by("hash").combine_chunks()
-        hashes = np.zeros(0, U64) if not n else got.column("hash").chunk(0).to_numpy().view(U64)
-        order = np.argsort(hashes, kind="stable")  # as unsigned
-        table = hashes[order]
-    if table is not None and len(np.unique(table)) == n:
-        lists = got.column("ids").chunk(0) if n else pa.array([], pa.list_(pa.int32()))
-        offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-        positions, ends = _flat(offsets, order)
-        shared = docs.sparkSession.sparkContext.broadcast((table, np.concatenate([[0], ends]).astype(np.int64), flat[positions]))
+    words = written(word_table(rows.select("text").where("text is not null"), vocabulary))
+    table = _table(words, dictionary_bytes)
+    if table:
+        shared = docs.sparkSession.sparkContext.broadcast(table)
         names = [f"__k{i}" for i in range(len(keep))]
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"), "token_ids array<int>"])
-        out = rows.mapInArrow(_lookup_batches(shared, names), schema)
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"), "token_ids array<int>", *(["round_trip boolean"] if verify else [])])
+        out = rows.mapInArrow(_lookup_batches(shared, names, vocabulary if verify else None), schema)
+    elif verify:
+        out = _encode_by_shuffle(rows.withColumn("__source", F.col("text")), words)
+        out = decode(out, vocabulary=vocabulary).withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("__source")))
     else:
         out = _encode_by_shuffle(rows, words)
-    return out.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), "token_ids", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"))
+    return out.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), "token_ids", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), *(["round_trip"] if verify else []))
 
 
 @cache

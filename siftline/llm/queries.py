@@ -19,9 +19,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether the text decoded from them is the text itself."""
-    docs = table(spark, sf_dir, "documents")
-    ids = bpe.encode(docs, keep=("doc_id", "text"))
-    return bpe.decode(ids).selectExpr("doc_id", "n_tokens", "token_ids", "decoded <=> text as round_trip")
+    return bpe.encode(table(spark, sf_dir, "documents"), verify=True)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
