@@ -20,6 +20,14 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def once(c: Column) -> Column:
+    """``c``, computed once for the row: filters and later columns read its value and don't repeat it.
+
+    A generator of one row, which the optimizer neither pushes predicates through nor inlines.
+    """
+    return F.explode(F.array(c))
+
+
 class Condition:
     def column(self, c: Column) -> Column:
         raise NotImplementedError

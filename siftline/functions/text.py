@@ -230,7 +230,7 @@ def digits(c: Column) -> Column:
 
 def luhn(c: Column) -> Column:
     d = digits(c)
-    return (F.length(d) >= 13) & F.luhn_check(d)
+    return (F.length(d) >= 13) & F.call_function("luhn_check", d)
 
 
 def phone_like(c: Column) -> Column:

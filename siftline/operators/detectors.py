@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..functions.conditions import Rx
+from ..functions.conditions import Rx, once
 
 
 def observe(texts: DataFrame, scan: Column, order: Column, text: Column, engine: str = "table", artifact: Column | None = None, detector: str = "detector:text-table") -> DataFrame:
     """Observations of a table of texts: null texts give none; normalized once, for all detectors."""
     rows = texts.select(scan.cast("string").alias("scan_id"), order.cast("long").alias("ord"), text.alias("raw_text"), (artifact if artifact is not None else F.concat(F.lit("artifact:"), scan.cast("string"))).alias("source_artifact_id")).where("raw_text is not null and scan_id is not null")
-    rows = rows.withColumn("n", T.normalize(F.col("raw_text")))
+    rows = rows.withColumn("n", once(T.normalize(F.col("raw_text"))))
     return rows.select(
         "scan_id",
         F.format_string("observation:%s:%06d", "scan_id", "ord").alias("observation_id"),
@@ -95,7 +95,7 @@ def phishing_indicators(c: Column) -> Column:
 
 
 def phishing(observations: DataFrame) -> DataFrame:
-    rows = observations.withColumn("i", phishing_indicators(F.col("normalized_text"))).where(F.size("i") > 0).withColumn("k", F.lit(0))
+    rows = observations.withColumn("i", once(phishing_indicators(F.col("normalized_text")))).where(F.size("i") > 0).withColumn("k", F.lit(0))
     shown = T.text_evidence(F.col("normalized_text"))
     return _finding(rows, "phishing", "detector:phishing-rules", category="phishing", kind="deceptive_interface_indicator", state="POSSIBLE", severity="medium", quality=0.5, likelihood=0.5, impact="high", reasons=F.array(F.lit("PHISHING_INDICATOR")), action="REVIEW", sha=shown["text_sha256"], length=shown["text_length"], indicators=F.col("i"))
 
@@ -106,7 +106,7 @@ def watermark_indicators(c: Column) -> Column:
 
 
 def watermarks(observations: DataFrame) -> DataFrame:
-    rows = observations.withColumn("i", watermark_indicators(F.col("normalized_text"))).where(F.size("i") > 0).withColumn("k", F.lit(0))
+    rows = observations.withColumn("i", once(watermark_indicators(F.col("normalized_text")))).where(F.size("i") > 0).withColumn("k", F.lit(0))
     return _finding(rows, "watermark", "detector:visible-watermark", category="watermarks", kind="visible_watermark_indicator", state="POSSIBLE", severity="low", quality=0.4, impact="low", reasons=F.array(F.lit("VISIBLE_WATERMARK_INDICATOR")), action="REVIEW", indicators=F.col("i"))
 
 
@@ -125,11 +125,11 @@ def rule_matches(observations: DataFrame) -> DataFrame:
     """Per observation the first candidate (its text, then what decoding it gives) that any rule matches: adds candidate, candidate_text and rules."""
     candidates = F.concat(F.array("normalized_text"), F.transform(T.derive_candidates(F.col("normalized_text")), lambda d: d["text"]))
     each = F.filter(F.transform(candidates, lambda t, i: F.struct(i.alias("candidate"), matching_rules(t).alias("rules"), t.alias("text"))), lambda s: F.size(s["rules"]) > 0)
-    return observations.withColumn("first", F.get(each, 0)).where("first is not null").select(*observations.columns, F.col("first.candidate").alias("candidate"), F.col("first.text").alias("candidate_text"), F.col("first.rules").alias("rules"))
+    return observations.withColumn("first", once(F.get(each, 0))).where("first is not null").select(*observations.columns, F.col("first.candidate").alias("candidate"), F.col("first.text").alias("candidate_text"), F.col("first.rules").alias("rules"))
 
 
 def prompt_rules(observations: DataFrame) -> DataFrame:
-    rows = rule_matches(observations).withColumn("k", F.lit(0)).withColumn("intent", T.intent(F.col("candidate_text")))
+    rows = rule_matches(observations).withColumn("k", F.lit(0)).withColumn("intent", once(T.intent(F.col("candidate_text"))))
     active = F.col("intent.quoted_or_active") == "active"
     categories = F.array_distinct(F.transform("rules", _of_rule(1)))
     credential = F.col("intent.credential_request") | F.array_contains(categories, "credential_request")
@@ -162,16 +162,16 @@ def token_overlap(t: Column) -> Column:
 
 def pair_score(t: Column) -> Column:
     """The greatest weight of a pair whose second word is one of the four after its first."""
-    near = F.array_distinct(F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, F.lit(4)), lambda y: F.concat(x, F.lit(">"), y)))))
-    out = F.lit(0.0)
-    for weight, pairs in sorted(P.PAIRS.items()):
-        out = F.when(F.arrays_overlap(near, F.array(*map(F.lit, pairs))), F.lit(weight)).otherwise(out)
-    return out
+    firsts = sorted({p.split(">")[0] for pairs in P.PAIRS.values() for p in pairs})
+    beside = lambda x, i: F.when(x.isin(firsts), F.transform(F.slice(t, i + 2, F.lit(4)), lambda y: F.concat(x, F.lit(">"), y))).otherwise(F.array().cast("array<string>"))
+    near = F.array_distinct(F.flatten(F.transform(t, beside)))
+    table = F.create_map(*(F.lit(x) for weight, pairs in P.PAIRS.items() for pair in pairs for x in (pair, weight)))
+    return F.coalesce(F.array_max(F.transform(near, lambda p: table[p])), F.lit(0.0))
 
 
-def structure(c: Column, leave_out: list[int] = ()) -> Column:
-    """struct(score, label) of the greatest structural score; of equals the first; (0, '') without one."""
-    low, hits = F.lower(c), []
+def structure(c: Column, low: Column, leave_out: list[int] = ()) -> Column:
+    """struct(score, label) of the greatest structural score; of equals the first; (0, '') without one. ``low`` is the text in lower case."""
+    hits = []
     for i, (score, label, expression, flags, need) in enumerate(P.STRUCTURES):
         if i in leave_out:
             continue
@@ -183,10 +183,14 @@ def structure(c: Column, leave_out: list[int] = ()) -> Column:
     return F.struct(F.coalesce(best["score"], F.lit(0.0)).alias("score"), F.coalesce(best["label"], F.lit("")).alias("label"))
 
 
-def misleading_label(c: Column) -> Column:
-    low = F.lower(F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+def stripped(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+
+
+def misleading_label(low: Column) -> Column:
+    """Of a stripped text in lower case: .30 or .25 for a known label, .30 for a short topic."""
     count = F.when(low == "", 0).otherwise(F.size(F.split(low, T.BLANKS)))
-    named = F.exists(F.array(*map(F.lit, P.LABELS)), lambda w: F.contains(low, w))
+    named = reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in P.LABELS))
     topic = (count <= 8) & Rx(P.SHORT_TOPIC, "i").column(low)
     return F.when(named, F.when(count <= 10, 0.30).otherwise(0.25)).when(topic, 0.30).otherwise(F.lit(0.0))
 
@@ -194,15 +198,17 @@ def misleading_label(c: Column) -> Column:
 def with_score(rows: DataFrame, text_col: str) -> DataFrame:
     """Adds token_overlap, bigram, structural, misleading_label, matched and score."""
     signal = F.array(*map(F.lit, P.SIGNAL))
-    d = rows.withColumn("__t", tokens(F.col(text_col))).withColumn("__s", structure(F.col(text_col)))
-    d = d.withColumn("misleading_label", misleading_label(F.col(text_col))).withColumn("token_overlap", token_overlap(F.col("__t"))).withColumn("bigram", pair_score(F.col("__t"))).withColumn("__signal", F.arrays_overlap("__t", signal))
+    c = F.col(text_col)
+    d = rows.withColumn("__b", once(F.struct(tokens(c).alias("t"), stripped(c).alias("strip"), F.lower(c).alias("low")))).withColumn("__t", F.col("__b.t"))
+    parts = F.struct(structure(c, F.col("__b.low")).alias("s"), misleading_label(F.col("__b.strip")).alias("m"), token_overlap(F.col("__t")).alias("o"), pair_score(F.col("__t")).alias("b"), F.arrays_overlap("__t", signal).alias("g"))
+    d = d.withColumn("__p", once(parts)).withColumns({"__s": F.col("__p.s"), "misleading_label": F.col("__p.m"), "token_overlap": F.col("__p.o"), "bigram": F.col("__p.b"), "__signal": F.col("__p.g")})
     label, raw = F.col("__s.label"), F.col("__s.score")
     d = d.withColumn("structural", F.when(label.isin("indirect_query_phrase", "process_caption"), F.least(raw, F.lit(0.30))).when((label == "figstep_colon_topic") & ~F.col("__signal"), F.least(raw, F.lit(REVIEW))).otherwise(raw))
     pair, words = F.col("bigram") * 0.9, F.col("token_overlap") * 0.6
     matched = F.when((label != "") & (F.col("structural") >= F.greatest(pair, "misleading_label")), label).when(F.col("misleading_label") >= F.greatest("structural", pair), "misleading_label").when(pair >= words, "bigram").otherwise("token_overlap")
     nothing = (F.size("__t") < 2) & ~F.col("__signal") & (F.col("misleading_label") == 0.0)
     d = d.withColumn("score", F.when(nothing, 0.0).otherwise(F.greatest("structural", pair, words, "misleading_label"))).withColumn("matched", F.when(nothing, "none").otherwise(matched))
-    return d.drop("__t", "__s", "__signal")
+    return d.drop("__b", "__t", "__s", "__p", "__signal")
 
 
 def semantic(observations: DataFrame, covered: DataFrame | None = None) -> DataFrame:
@@ -212,7 +218,7 @@ def semantic(observations: DataFrame, covered: DataFrame | None = None) -> DataF
         done = covered.where("state = 'CONFIRMED'").select(F.explode("observation_ids").alias("observation_id"))
         rows = rows.join(done, "observation_id", "left_anti")
     first = F.row_number().over(Window.partitionBy("scan_id", F.xxhash64("normalized_text"), F.sha2("normalized_text", 256)).orderBy("ord"))
-    rows = rows.withColumn("__first", first).where("__first = 1").drop("__first").where(T.context(F.col("normalized_text")) == "active")
+    rows = rows.withColumn("__first", first).where("__first = 1").drop("__first").withColumn("__c", once(T.context(F.col("normalized_text")))).where("__c = 'active'").drop("__c")
     rows = with_score(rows, "normalized_text").where(F.col("score") >= REVIEW).withColumn("k", F.lit(0))
     active = F.col("score") >= BLOCK
     reasons = F.array_compact(F.array(F.lit("PROMPT_INJECTION"), *(F.when(F.col("matched").isin(labels), code) for labels, code in P.LABEL_REASONS)))

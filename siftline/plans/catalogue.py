@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..functions.conditions import Rx, case_sql, expand, quoted
+from ..functions.conditions import Rx, case_sql, once, quoted
 from ..operators import detectors as D
 from ..operators import evaluation, evidence, lifecycle, policy
 from ..schemas import CATEGORIES, PROFILES, SEVERITIES, STATES, rank_sql
@@ -146,7 +146,7 @@ _RULES = "list_filter([" + ", ".join(f"case when {' or '.join(Rx(x, 'i').sql('t'
 
 @query(f"{_with} select scan_id, ord, list_aggregate(list_transform(r, lambda i: [{', '.join(quoted(p[0]) for p in P.PROMPT_RULES)}][i + 1]), 'string_agg', '|') as rules from (select scan_id, ord, {_RULES} as r from obs) where len(r) > 0")
 def prompt_rule_matches(spark, sf_dir):
-    d = observations(spark, sf_dir).select("scan_id", "ord", D.matching_rules(F.col("normalized_text")).alias("r")).where(F.size("r") > 0)
+    d = observations(spark, sf_dir).select("scan_id", "ord", once(D.matching_rules(F.col("normalized_text"))).alias("r")).where(F.size("r") > 0)
     return d.select("scan_id", "ord", F.array_join(F.transform("r", D._of_rule(0)), "|").alias("rules"))
 
 
@@ -225,7 +225,8 @@ _PAIR_TABLE = ", ".join(f"({quoted(p.split('>')[0])}, {quoted(p.split('>')[1])},
     "select tok.scan_id, tok.ord, cast(coalesce(hit.s, 0) as double) as score from tok left join hit using (scan_id, ord)"
 )
 def semantic_bigram(spark, sf_dir):
-    return observations(spark, sf_dir).select("scan_id", "ord", D.pair_score(D.tokens(F.col("normalized_text"))).alias("score"))
+    d = observations(spark, sf_dir).withColumn("ts", once(D.tokens(F.col("normalized_text"))))
+    return d.select("scan_id", "ord", D.pair_score(F.col("ts")).alias("score"))
 
 
 def _structure_sql() -> str:
@@ -236,7 +237,7 @@ def _structure_sql() -> str:
 @query(f"{_with} select scan_id, ord, s.score as score, s.label as label from (select scan_id, ord, {_structure_sql()} as s from obs) where s is not null")
 def semantic_structural(spark, sf_dir):
     """Without the one expression that RE2 can't take; ``semantic_score`` has them all."""
-    d = observations(spark, sf_dir).select("scan_id", "ord", D.structure(F.col("normalized_text"), P.LOOKING_AHEAD).alias("s")).where("s.score > 0")
+    d = observations(spark, sf_dir).withColumn("low", once(F.lower("normalized_text"))).select("scan_id", "ord", once(D.structure(F.col("normalized_text"), F.col("low"), P.LOOKING_AHEAD)).alias("s")).where("s.score > 0")
     return d.select("scan_id", "ord", F.col("s.score").alias("score"), F.col("s.label").alias("label"))
 
 

@@ -104,8 +104,8 @@ def trailing_bytes(c: Column, fmt: Column) -> Column:
     text = F.decode(c, "ISO-8859-1")
 
     def after(mark: str) -> Column:
-        m = F.lit(bytes.fromhex(mark).decode("latin-1"))
-        return F.when(F.contains(text, m), F.length(F.substring_index(text, m, -1)))
+        m = bytes.fromhex(mark).decode("latin-1")
+        return F.when(F.contains(text, F.lit(m)), F.length(F.substring_index(text, m, -1)))
 
     return F.when(fmt == "PNG", after(_END["PNG"])).when(fmt == "JPEG", after(_END["JPEG"])).when(fmt == "GIF", after(_END["GIF"])).cast("long")
 
