@@ -6,6 +6,7 @@ Expressions are written with two abbreviations: a blank stands for white space o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,6 +29,11 @@ def once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value of ``c``, which is computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 class Condition:
     def column(self, c: Column) -> Column:
         raise NotImplementedError

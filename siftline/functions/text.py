@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .conditions import Condition, Has, Rx, case
+from .conditions import Condition, Has, Rx, case, let
 
 ZERO_WIDTH = r"[\u200B-\u200D\uFEFF]"
 BIDI = r"[\u202A-\u202E\u2066-\u2069]"
@@ -86,7 +86,7 @@ def derive_candidates(c: Column) -> Column:
     base64 = _decoded(c, "[A-Za-z0-9+/]{16,}={0,2}", lambda x: (F.length(x) % 4 == 0), lambda x: F.try_to_binary(x, F.lit("base64")), "base64", 0.8)
     hexes = _decoded(c, "[0-9a-fA-F]{24,}", lambda x: F.length(x) % 2 == 0, lambda x: F.unhex(x), "hex", 0.75)
     turned, backward = rot13(c), F.reverse(c)
-    single = lambda kind, t, extra: F.when(extra & _TELLTALE.column(F.lower(t)), derived(kind, 0.5, t))
+    single = lambda kind, t, extra: F.when(extra & let(F.lower(t), _TELLTALE.column), derived(kind, 0.5, t))
     both = F.array_compact(F.array(single("rot13", turned, turned != c), single("reversed", backward, F.lit(True))))
     none = F.slice(both, 1, 0)
     return F.when(F.octet_length(c) > 100_000, none).otherwise(F.slice(F.concat(base64, hexes, both), 1, 20))
@@ -110,9 +110,12 @@ DOMAIN = r"\b\w+\.(?:com|example|invalid|io|localhost|net|org)\b"
 
 def context(c: Column) -> Column:
     """quoted, discussed, active or warning; what reads like none of them is active."""
-    low = F.lower(c)
+    return let(F.lower(c), _context)
+
+
+def _context(low: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(low, "(?U)" + ADDRESS, ""), "(?U)" + DOMAIN, "")
-    return F.coalesce(case(CONTEXTS, None, low), F.when(DISCUSSION.column(bare), "discussed").otherwise("active"))
+    return F.coalesce(case(CONTEXTS, None, low), let(bare, lambda b: F.when(DISCUSSION.column(b), "discussed").otherwise("active")))
 
 
 TOOL_CALL = Has("call tool", "execute", "open file", "run command", "send_email", "simulated tool", "use tool")
@@ -131,7 +134,10 @@ EXFILTRATES = Has("exfiltrate", "send to", "upload")
 
 def intent(c: Column) -> Column:
     """What a text asks for, as a struct of eight fields."""
-    low = F.lower(c)
+    return let(F.lower(c), _intent)
+
+
+def _intent(low: Column) -> Column:
     noun = CREDENTIALS.column(low)
     return F.struct(
         F.when(F.contains(low, F.lit("system")), "system").alias("speaker_claim"),
@@ -141,7 +147,7 @@ def intent(c: Column) -> Column:
         SECRECY.column(low).alias("secrecy_requested"),
         EXFILTRATES.column(low).alias("data_exfiltration"),
         (noun & EXTRACTION.column(low)).alias("credential_request"),
-        context(c).alias("quoted_or_active"),
+        _context(low).alias("quoted_or_active"),
     )
 
 

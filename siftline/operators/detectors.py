@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..functions.conditions import Rx, once
+from ..functions.conditions import Rx, let, once
 
 
 def observe(texts: DataFrame, scan: Column, order: Column, text: Column, engine: str = "table", artifact: Column | None = None, detector: str = "detector:text-table") -> DataFrame:
@@ -90,8 +90,7 @@ def privacy(observations: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- phishing and watermarks
 def phishing_indicators(c: Column) -> Column:
-    low = F.lower(c)
-    return F.array_sort(F.array_compact(F.array(*(F.when(condition.column(low), name) for name, condition in P.PHISHING))))
+    return let(F.lower(c), lambda low: F.array_sort(F.array_compact(F.array(*(F.when(condition.column(low), name) for name, condition in P.PHISHING)))))
 
 
 def phishing(observations: DataFrame) -> DataFrame:
@@ -101,8 +100,7 @@ def phishing(observations: DataFrame) -> DataFrame:
 
 
 def watermark_indicators(c: Column) -> Column:
-    low = F.lower(c)
-    return F.filter(F.array(*map(F.lit, P.WATERMARKS)), lambda w: F.contains(low, w))
+    return let(F.lower(c), lambda low: F.filter(F.array(*map(F.lit, P.WATERMARKS)), lambda w: F.contains(low, w)))
 
 
 def watermarks(observations: DataFrame) -> DataFrame:
