@@ -10,8 +10,8 @@ A long match consists of template words only, so only runs of ``LEAST_MATCH`` su
 the runs are found for a whole batch at once. This drops nothing.
 
 Words are runs of letters and digits, in lower case. Defined cases: null and empty texts give no
-finds; a null doc_id is carried along; repeated rows give their finds again; equal chains: the earlier
-one; a template said twice in a text is found twice, if the finds don't overlap.
+finds; a null doc_id is carried along; repeated rows give their finds again; of overlapping finds of one
+licence the one that covers most stays, then the earlier; a licence said twice in a text is found twice.
 """
 
 from __future__ import annotations
@@ -108,11 +108,18 @@ class Automaton:
         return out
 
     def long_matches(self, sequence: list[int], least: int) -> list[tuple[int, int, int, int]]:
-        """(start, length, template, start in it) of the matches that can't be extended."""
-        stats, out = self.statistics(sequence), []
-        for at, (length, state) in enumerate(stats):
-            if length >= least and (at + 1 == len(stats) or stats[at + 1][0] != length + 1):
-                out += [(at + 1 - length, length, which, end - length) for which, end in sorted(self.ends[state])]
+        """(start, length, template, start in it): every match of ``least`` words or more that can't be extended within its template."""
+        out: list[tuple[int, int, int, int]] = []
+        before: dict[tuple[int, int], int] = {}
+        for at, (length, state) in enumerate([*self.statistics(sequence), (0, 0)]):
+            now: dict[tuple[int, int], int] = {}
+            while length >= least:
+                for place in self.ends[state]:
+                    now.setdefault(place, length)
+                state = self.link[state]
+                length = self.length[state]
+            out += [(at - n, n, which, end - n) for (which, end), n in sorted(before.items()) if (which, end + 1) not in now]
+            before = now
         return out
 
 
@@ -159,7 +166,11 @@ def finds_of_words(known: np.ndarray) -> list[tuple[str, int, int, int, int]]:
     for a, b in zip(edge[::2], edge[1::2]):
         if b - a >= min(LEAST_MATCH, 3):
             matches += [(a + s, n, w, p) for s, n, w, p in automaton.long_matches(known[a:b].tolist(), LEAST_MATCH) + _whole_short(automaton, known[a:b].tolist(), lengths)]
-    return [(names[w], int(a), int(b), int(c), lengths[w]) for w, a, b, c in chains(sorted(set(matches)), lengths)]
+    out: list[tuple[str, int, int, int, int]] = []
+    for w, a, b, c in sorted(chains(sorted(set(matches)), lengths), key=lambda f: (-f[3], lengths[f[0]], f[1])):
+        if all(names[w] != o[0] or b <= o[1] or a >= o[2] for o in out):
+            out.append((names[w], int(a), int(b), int(c), lengths[w]))
+    return sorted(out, key=lambda f: (f[1], f[0]))
 
 
 def _whole_short(automaton: Automaton, sequence: list[int], lengths: list[int]) -> list[tuple[int, int, int, int]]:
