@@ -4,20 +4,23 @@ All templates go into one suffix automaton over word ids. A text is streamed thr
 the automaton gives the longest stretch that ends there and occurs in some template. Stretches of
 ``LEAST_MATCH`` words or more that can't be extended are located in the templates that hold them, and
 chained per template in the order of text and template, with at most ``MOST_GAP`` words between; a
-chain that covers ``LEAST_COVER`` of its template is a find.
+chain that covers ``LEAST_COVER`` of its template is a find. Notices that name a version or a Creative
+Commons licence must be there whole, since one word decides which licence it is.
 
 A long match consists of template words only, so only runs of ``LEAST_MATCH`` such words are streamed;
 the runs are found for a whole batch at once. This drops nothing.
 
 Words are runs of letters and digits, in lower case. Defined cases: null and empty texts give no
 finds; a null doc_id is carried along; repeated rows give their finds again; of overlapping finds of one
-licence the one that covers most stays, then the earlier; a licence said twice in a text is found twice.
+licence, or of rivals (``rivals``: notices, headers or texts of one family), the one that covers most
+stays, then the one of the shorter template, then the earlier; a licence said twice in a text is found twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,70 @@ from .shared import pieces, span_hashes, utf8, words
 LEAST_MATCH = 4
 MOST_GAP = 12
 LEAST_COVER = 0.7
+GNU = {"gpl": "GNU general public license", "lgpl": "GNU lesser general public license", "agpl": "GNU affero general public license"}
+VERSIONS = {"gpl": ("1 0", "2 0", "3 0"), "lgpl": ("2 0", "2 1", "3 0"), "agpl": ("1 0", "3 0")}
+CC = {"by": "attribution", "by-sa": "attribution sharealike", "by-nc": "attribution noncommercial", "by-nd": "attribution noderivatives", "by-nc-sa": "attribution noncommercial sharealike", "by-nc-nd": "attribution noncommercial noderivatives"}
+CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
+
+
+def _notices() -> Iterator[tuple[str, tuple[str, ...]]]:
+    """The short forms of the versioned licences, each as people write it."""
+    for kind, name in GNU.items():
+        yield f"{kind}-notice", (f"licensed under the {name}",)
+        for lead in (f"licensed under the {name}", name, f"licensed under the {kind}", f"under the {kind}", f"licensed under {kind}", f"GNU {kind}"):
+            for version in VERSIONS[kind]:
+                whole = [version.removesuffix(" 0"), version] if version.endswith(" 0") else [version]
+                for v in (f"{word}{n}" for n in whole for word in ("version ", "v", "")):
+                    yield f"{kind}-{version.replace(' ', '.')}-notice", (f"{lead} {v}",)
+        for version in VERSIONS[kind]:
+            for n in sorted({version, version.removesuffix(" 0")}):
+                yield f"{kind}-{version.replace(' ', '.')}-notice", (f"license {kind} {n} only" if n != version else f"license {kind} {n}",)
+                yield f"{kind}-{version.replace(' ', '.')}-notice", (f"{kind} {n} or later",)
+    for version in ("1 1", "2 0"):
+        for lead in ("licensed under the apache license", "the apache license", "apache license", "licensed under apache", "licensed under the apache"):
+            for v in ("version ", "v", ""):
+                yield f"apache-{version.replace(' ', '.')}-notice", (f"{lead} {v}{version}",)
+        for tail in ("license", "licence"):
+            yield f"apache-{version.replace(' ', '.')}-notice", (f"apache {version} {tail}",)
+        yield f"mpl-{version.replace(' ', '.')}-notice", (f"licensed under mpl {version}",)
+        for lead in ("mozilla public license", "licensed under the mozilla public license"):
+            for v in ("version ", "v ", "v", ""):
+                yield f"mpl-{version.replace(' ', '.')}-notice", (f"{lead} {v}{version}",)
+    yield "apache-2.0-notice", ("licensed under the apache license version 2",)
+    yield "apache-notice", ("licensed under the apache license",)
+    yield "mpl-notice", ("licensed under the mozilla public license",)
+    for name, said in (("bsd", "bsd license"), ("bsd-2-clause", "bsd 2 clause license"), ("bsd-2-clause", "2 clause bsd license"), ("bsd-3-clause", "bsd 3 clause license"), ("bsd-3-clause", "3 clause bsd license"), ("isc", "isc license"), ("mit", "mit license"), ("mit", "mit licence"), ("zlib", "zlib license"), ("unlicense", "unlicense")):
+        for lead in ("licensed under the", "released under the", "under the"):
+            yield f"{name}-notice", (f"{lead} {said}",)
+    for kind, name in CC.items():
+        short, names = f"cc {kind.replace('-', ' ')}", {name}
+        for one, two in (("noncommercial", "non commercial"), ("sharealike", "share alike"), ("noderivatives", "no derivatives"), ("noderivatives", "noderivs")):
+            names |= {n.replace(one, two) for n in names}
+        leads = [short, f"licensed under {short}", f"licensed under a {short}", f"licensed under the {short}", f"licensed under creative commons {kind.replace('-', ' ')}", f"creative commons {kind.replace('-', ' ')}"]
+        leads += [f"{lead}creative commons {n}" for n in sorted(names) for lead in ("", "licensed under a ", "licensed under the ", "licensed under ")]
+        for lead in leads:
+            yield f"cc-{kind}-notice", (lead,)
+            for version in CC_VERSIONS:
+                for v in (version, f"v{version}", f"version {version}"):
+                    yield f"cc-{kind}-{version.replace(' ', '.')}-notice", (f"{lead} {v}",)
+                for place in ("international", "unported", "generic"):
+                    yield f"cc-{kind}-{version.replace(' ', '.')}-notice", (f"{lead} {version} {place} license",)
+        for version in CC_VERSIONS:
+            yield f"cc-{kind}-{version.replace(' ', '.')}-notice", (f"creativecommons org licenses {kind.replace('-', ' ')} {version}",)
+    for said in ("cc0 1 0", "cc 0 1 0", "cc0 1 0 universal", "creative commons zero", "creative commons cc0", "licensed under cc0", "released under cc0", "creativecommons org publicdomain zero 1 0"):
+        yield "cc0-1.0-notice", (said,)
+
+
+def _headers() -> Iterator[tuple[str, tuple[str, ...]]]:
+    """The header that the GNU licences have put on each file; that of gpl-3.0 is below."""
+    for kind, name in (*GNU.items(), ("lgpl", "GNU library general public license")):
+        for version in VERSIONS[kind]:
+            if (kind, version) != ("gpl", "3 0"):
+                for v in sorted({version, version.removesuffix(" 0")}):
+                    for what in ("program", "library"):
+                        yield f"{kind}-{version.replace(' ', '.')}", (f"this {what} is free software you can redistribute it and or modify it under the terms of the {name} as published by the free software foundation either version {v} of the license or at your option any later version", f"this {what} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose")
+
+
 #: (licence, its clauses). Short notices are templates of their own.
 TEMPLATES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("mit-notice", ("released under the MIT license",)),
@@ -46,9 +113,24 @@ TEMPLATES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("cc-by-4.0-notice", ("licensed under a creative commons attribution 4 0 international license",)),
     ("unlicense", ("this is free and unencumbered software released into the public domain",)),
     ("reserved-notice", ("all rights reserved",)),
+    *_notices(),
+    *_headers(),
 )
 
 
+@cache
+def rivals(name: str) -> str:
+    """What only one of several overlapping finds may be: notices, headers or texts of one family."""
+    family = name.split("-")[0]
+    kind = next((k for k in ("notice", "text") if name.endswith(f"-{k}")), "body")
+    return f"{ {'gpl': 'gnu', 'lgpl': 'gnu', 'agpl': 'gnu', 'cc0': 'cc', '0bsd': 'isc'}.get(family, family)} {kind}"
+
+
+def _least(name: str, length: int) -> float:
+    """How many words of a template must be covered."""
+    return length * LEAST_COVER
+
+
 class Automaton:
     """A generalized suffix automaton of sequences of word ids."""
 
@@ -123,17 +205,29 @@ class Automaton:
         return out
 
 
+class Compiled(NamedTuple):
+    hashes: np.ndarray  # of the templates' words, sorted
+    vocabulary: dict[int, int]
+    automaton: Automaton
+    names: list[str]
+    lengths: list[int]
+    least: list[float]  # words of each template that must be covered
+
+
 @cache
-def _compiled() -> tuple[np.ndarray, dict[int, int], Automaton, list[str], list[int]]:
-    sequences, vocabulary = [], {}
-    for _, clauses in TEMPLATES:
+def _compiled() -> Compiled:
+    sequences, names, least, vocabulary = [], [], [], {}
+    for name, clauses in dict.fromkeys(TEMPLATES):
         data, offsets = utf8(pa.array([" ".join(clauses)]), lower=True)
         starts, ends, _ = words(data, offsets)
         sequences.append([vocabulary.setdefault(h, len(vocabulary)) for h in span_hashes(data, starts, ends).tolist()])
-    return np.array(sorted(vocabulary), np.uint64), vocabulary, Automaton(sequences), [name for name, _ in TEMPLATES], [len(s) for s in sequences]
+        names.append(name)
+        exact = name.endswith("-notice") and (name.startswith("cc") or any(c.isdigit() for c in " ".join(clauses)))
+        least.append(len(sequences[-1]) if exact else _least(name, len(sequences[-1])))
+    return Compiled(np.array(sorted(vocabulary), np.uint64), vocabulary, Automaton(sequences), names, [len(s) for s in sequences], least)
 
 
-def chains(matches: list[tuple[int, int, int, int]], lengths: list[int]) -> list[tuple[int, int, int, int]]:
+def chains(matches: list[tuple[int, int, int, int]], least: list[float]) -> list[tuple[int, int, int, int]]:
     """(template, start, end, covered words) of the chains that cover enough of their template."""
     found = []
     by: dict[int, list[tuple[int, int, int]]] = {}
@@ -142,17 +236,18 @@ def chains(matches: list[tuple[int, int, int, int]], lengths: list[int]) -> list
     for which, own in sorted(by.items()):
         own.sort()
         best: list[tuple[int, int]] = []  # covered words, start of the chain
+        by_end: dict[int, list[int]] = {}
         for i, (start, length, place) in enumerate(own):
             covered, begin = length, start
-            for j in range(i - 1, -1, -1):
-                s, n, p = own[j]
-                gap = start - (s + n)
-                if 0 <= gap <= MOST_GAP and place >= p + n and best[j][0] + length > covered:
+            for j in sorted((j for end in range(start - MOST_GAP, start + 1) for j in by_end.get(end, ())), reverse=True):
+                _, n, p = own[j]
+                if place >= p + n and best[j][0] + length > covered:
                     covered, begin = best[j][0] + length, best[j][1]
             best.append((covered, begin))
+            by_end.setdefault(start + length, []).append(i)
         taken: list[tuple[int, int]] = []
         for covered, begin, end in sorted(((c, b, s + n) for (c, b), (s, n, _) in zip(best, own)), key=lambda x: (-x[0], x[1], x[2])):
-            if covered >= LEAST_COVER * lengths[which] and all(end <= b or begin >= e for b, e in taken):
+            if covered >= least[which] and all(end <= b or begin >= e for b, e in taken):
                 taken.append((begin, end))
                 found.append((which, begin, end, covered))
     return sorted(found, key=lambda f: (f[1], f[0]))
@@ -160,15 +255,15 @@ def chains(matches: list[tuple[int, int, int, int]], lengths: list[int]) -> list
 
 def finds_of_words(known: np.ndarray) -> list[tuple[str, int, int, int, int]]:
     """(licence, first word, end, covered words, template's words) of one text's word ids, -1 where no template has the word."""
-    _, _, automaton, names, lengths = _compiled()
+    _, _, automaton, names, lengths, least = _compiled()
     matches, inside = [], known >= 0
     edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
     for a, b in zip(edge[::2], edge[1::2]):
         if b - a >= min(LEAST_MATCH, 3):
             matches += [(a + s, n, w, p) for s, n, w, p in automaton.long_matches(known[a:b].tolist(), LEAST_MATCH) + _whole_short(automaton, known[a:b].tolist(), lengths)]
     out: list[tuple[str, int, int, int, int]] = []
-    for w, a, b, c in sorted(chains(sorted(set(matches)), lengths), key=lambda f: (-f[3], lengths[f[0]], f[1])):
-        if all(names[w] != o[0] or b <= o[1] or a >= o[2] for o in out):
+    for w, a, b, c in sorted(chains(sorted(set(matches)), least), key=lambda f: (-f[3], lengths[f[0]], f[1])):
+        if all(rivals(names[w]) != rivals(o[0]) or b <= o[1] or a >= o[2] for o in out):
             out.append((names[w], int(a), int(b), int(c), lengths[w]))
     return sorted(out, key=lambda f: (f[1], f[0]))
 
@@ -179,7 +274,7 @@ def _whole_short(automaton: Automaton, sequence: list[int], lengths: list[int])
 
 
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sorted_hashes, vocabulary, _, _, _ = _compiled()
+    sorted_hashes, vocabulary = _compiled()[:2]
     as_id = np.array([vocabulary[h] for h in sorted_hashes.tolist()])
     for batch in batches:
         for piece in pieces(batch, "text"):
