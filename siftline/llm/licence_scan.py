@@ -5,7 +5,10 @@ the automaton gives the longest stretch that ends there and occurs in some templ
 ``LEAST_MATCH`` words or more that can't be extended are located in the templates that hold them, and
 chained per template in the order of text and template, with at most ``MOST_GAP`` words between; a
 chain that covers ``LEAST_COVER`` of its template is a find. Notices that name a version or a Creative
-Commons licence must be there whole, since one word decides which licence it is.
+Commons licence must be there whole, since one word decides which licence it is; whole published texts
+(``-text``) to ``LEAST_TEXT``, since the texts of one family share much.
+
+Templates: short notices and headers (here) and the published texts in ``licences/``, verbatim.
 
 A long match consists of template words only, so only runs of ``LEAST_MATCH`` such words are streamed;
 the runs are found for a whole batch at once. This drops nothing.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +36,7 @@ from .shared import pieces, span_hashes, utf8, words
 LEAST_MATCH = 4
 MOST_GAP = 12
 LEAST_COVER = 0.7
+LEAST_TEXT = 0.85
 GNU = {"gpl": "GNU general public license", "lgpl": "GNU lesser general public license", "agpl": "GNU affero general public license"}
 VERSIONS = {"gpl": ("1 0", "2 0", "3 0"), "lgpl": ("2 0", "2 1", "3 0"), "agpl": ("1 0", "3 0")}
 CC = {"by": "attribution", "by-sa": "attribution sharealike", "by-nc": "attribution noncommercial", "by-nd": "attribution noderivatives", "by-nc-sa": "attribution noncommercial sharealike", "by-nc-nd": "attribution noncommercial noderivatives"}
@@ -96,6 +101,15 @@ def _headers() -> Iterator[tuple[str, tuple[str, ...]]]:
                         yield f"{kind}-{version.replace(' ', '.')}", (f"this {what} is free software you can redistribute it and or modify it under the terms of the {name} as published by the free software foundation either version {v} of the license or at your option any later version", f"this {what} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose")
 
 
+def _texts() -> Iterator[tuple[str, tuple[str, ...]]]:
+    """The published texts; also MIT's without its disclaimer."""
+    for path in sorted((Path(__file__).parent / "licences").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        yield path.stem, (text,)
+        if path.stem == "mit":
+            yield "mit", (text.split("THE SOFTWARE IS PROVIDED")[0],)
+
+
 #: (licence, its clauses). Short notices are templates of their own.
 TEMPLATES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("mit-notice", ("released under the MIT license",)),
@@ -115,6 +129,7 @@ TEMPLATES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("reserved-notice", ("all rights reserved",)),
     *_notices(),
     *_headers(),
+    *_texts(),
 )
 
 
@@ -128,7 +143,7 @@ def rivals(name: str) -> str:
 
 def _least(name: str, length: int) -> float:
     """How many words of a template must be covered."""
-    return length * LEAST_COVER
+    return length * (LEAST_TEXT if name.endswith("-text") else LEAST_COVER)
 
 
 class Automaton:
