@@ -3,14 +3,15 @@
 A classifier fitted on the labelled table (at most ``MOST_ROWS`` rows) gives each document the
 posteriors of the domains ``good`` (quality 1, not toxic), ``poor`` (quality 0, not toxic) and
 ``toxic``. The expected tokens of a domain are the documents' tokens weighted by posterior and rate.
-Rates are the nonnegative numbers, nearest to one, whose expected domain tokens meet the targets in
-the least-squares sense: projected gradient steps in the metric of the documents' tokens, with the
-residual weighted by the inverse of the domains' second-moment matrix, so that a step solves the
-problem exactly wherever no rate is clipped.
+Rates are the numbers from 0 to the bound, if there is one, whose expected domain tokens meet the
+targets, in the least-squares sense where they can't be met (the residual weighted by the inverse of the
+domains' second-moment matrix), and among those the nearest to one in the metric of the documents' tokens.
 
-A step needs only sums over all documents of one number per domain (and once per pair of domains). A
-rate is a function of its document's posteriors and the steps taken so far, so nothing is stored per
-step: each pass folds the steps over the table of tokens and posteriors, which is written once.
+Such a rate is 1 minus the product of the posteriors with one multiplier per domain, clipped. The
+multipliers solve a convex dual problem (``PULL`` weighs the distance from one against the residual), by
+Newton steps to convergence; a step needs one pass for sums over all documents, of one number per domain
+and per pair of domains for each step length tried. A fit that doesn't converge within ``MOST_PASSES``
+raises an error; ``Plan.expected`` has what the rates give, to be held against ``Plan.targets``.
 
 Targets: the weights, scaled so that the domain which is scarcest against its weight keeps what it has
 (no domain as a whole is repeated), or multiplied by ``total`` tokens if that is given.
@@ -39,8 +40,10 @@ DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.9, "poor": 0.05, "toxic": 0.05}
 MOST_ROWS = 1500
 RIDGE = 0.002
-STEPS = 30
+PULL = 1e-8
 NEAR = 1e-6
+MOST_PASSES = 100
+LENGTHS = np.concatenate([[1.0, 0.9, 0.8, 0.7, 0.6], 0.5 ** np.arange(1, 20)])
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -96,47 +99,79 @@ def with_posteriors(docs: DataFrame, classifier: Classifier, keep: list[str], te
 
 
 class Plan(NamedTuple):
-    """What turns posteriors into rates: the steps, the bound, and the posteriors for texts without tokens."""
+    """What turns posteriors into rates: the multipliers, the bound, and the posteriors for texts without tokens."""
 
-    steps: list[list[float]]
+    steps: list[list[float]]  # the multipliers, or nothing where every rate is 1
     most_rate: float | None
     mean: list[float]
     have: list[float]
     targets: list[float]
+    expected: list[float]  # each domain's tokens at these rates
 
     def rate(self) -> Column:
         """The rate, of a table with __tokens and __p."""
         if not self.steps:
             return F.lit(1.0)
         p = F.when(F.col("__tokens") > 0, F.col("__p")).otherwise(F.array(*map(F.lit, self.mean)))
+        r = F.lit(1.0) - sum((p[k] * F.lit(g) for k, g in enumerate(self.steps[0])), F.lit(0.0))
+        return F.greatest(F.lit(0.0), r if self.most_rate is None else F.least(F.lit(float(self.most_rate)), r))
 
-        def step(r: Column, g: Column) -> Column:
-            r = r - sum((p[k] * g[k] for k in range(len(DOMAINS))), F.lit(0.0))
-            return F.greatest(F.lit(0.0), r if self.most_rate is None else F.least(F.lit(float(self.most_rate)), r))
 
-        steps = F.array(*(F.array(*map(F.lit, g)) for g in self.steps))
-        return F.aggregate(steps, F.lit(1.0), step)
+def moments(tokens: np.ndarray, p: np.ndarray, multipliers: np.ndarray, most_rate: float | None) -> np.ndarray:
+    """For each row of ``multipliers``: the expected tokens of the domains, and the second moments of the rates that aren't clipped."""
+    out = []
+    for m in multipliers:
+        free = 1 - p @ m
+        rate = np.clip(free, 0, most_rate)
+        inner = tokens * (rate == free)
+        out.append(np.concatenate([(tokens * rate) @ p, ((p * inner[:, None]).T @ p).reshape(-1)]))
+    return np.array(out)
+
+
+def _moments_of(table: DataFrame, multipliers: np.ndarray, most_rate: float | None) -> np.ndarray:
+    """``moments`` of a durable table; a partition gives a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(multipliers), len(DOMAINS) * (1 + len(DOMAINS))))
+        for batch in batches:
+            tokens = batch.column("t").to_numpy(zero_copy_only=False)
+            total += moments(tokens, batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(len(tokens), -1), multipliers, most_rate)
+        yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1).tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    rows = table.where("__tokens > 0").select(F.col("__tokens").cast("double").alias("t"), F.col("__p").alias("p"))
+    sums = [r.sums for r in rows.mapInArrow(run, "sums array<double>").collect()]
+    return np.array(sums).reshape(-1, len(multipliers), len(DOMAINS) * (1 + len(DOMAINS))).sum(0)
 
 
 def fit_rates(table: DataFrame, classifier: Classifier, weights: dict[str, float], total: float | None = None, most_rate: float | None = None) -> Plan:
     """The plan for a durable table (__tokens, __p)."""
-    k = range(len(DOMAINS))
-    t, p = F.col("__tokens").cast("double"), F.col("__p")
-    sums = lambda r: [F.coalesce(F.sum(t * r * p[i]), F.lit(0.0)) for i in k]
-    got = list(table.agg(*sums(F.lit(1.0)), *(F.coalesce(F.sum(t * p[i] * p[j]), F.lit(0.0)) for i in k for j in k)).first())
-    have, second = np.array(got[: len(DOMAINS)]), np.array(got[len(DOMAINS) :]).reshape(len(DOMAINS), -1)
+    n = len(DOMAINS)
+    parts = lambda sums: (sums[:n], sums[n:].reshape(n, n))
+    have, second = parts(_moments_of(table, np.zeros((1, n)), None)[0])
     want = np.array([weights.get(d, 0.0) if present else 0.0 for d, present in zip(DOMAINS, classifier.present)])
     if classifier.model is None or have.sum() <= 0 or want.sum() <= 0:
-        return Plan([], most_rate, [1 / len(DOMAINS)] * len(DOMAINS), have.tolist(), have.tolist())
+        return Plan([], most_rate, [1 / n] * n, have.tolist(), have.tolist(), have.tolist())
     want = want / want.sum()
     targets = want * (total if total is not None else min(h / w for h, w in zip(have, want) if w > 0))
     inverse = np.linalg.pinv(second / have.sum(), rcond=1e-9) / have.sum()
-    plan = Plan([], most_rate, (have / have.sum()).tolist(), have.tolist(), targets.tolist())
-    now, before = have, None
-    while len(plan.steps) < STEPS and np.abs(now - targets).max() > NEAR * targets.sum() and (before is None or np.abs(now - before).max() > NEAR * targets.sum()):
-        plan.steps.append((inverse @ (now - targets)).tolist())
-        before, now = now, np.array(table.agg(*sums(plan.rate())).first())
-    return plan
+    aim = second @ inverse @ targets  # the part that any rates could change
+    near = NEAR * max(targets.sum(), have.sum() * NEAR)
+    at, span = np.zeros(n), second @ inverse
+    tokens, inner = parts(_moments_of(table, np.zeros((1, n)), most_rate)[0])
+    for _ in range(MOST_PASSES):
+        slope = PULL * second @ at + aim - span @ tokens
+        if np.abs(slope).max() <= near:
+            break
+        step = -span.T @ np.linalg.pinv((inner + PULL * second) / have.sum(), rcond=1e-15, hermitian=True) @ slope / have.sum()
+        tries = at + LENGTHS[:, None] * step
+        sums = _moments_of(table, tries, most_rate)
+        # the slope along the step grows with its length: the longest that isn't beyond the least value
+        along = [(PULL * second @ m + aim - span @ parts(s)[0]) @ step for m, s in zip(tries, sums)]
+        k = next((k for k in range(len(LENGTHS)) if along[k] <= near * np.abs(step).max()), len(LENGTHS) - 1)
+        at, (tokens, inner) = tries[k], parts(sums[k])
+    else:
+        raise ArithmeticError(f"the rates' fit hasn't converged in {MOST_PASSES} passes: slope {slope.tolist()} tokens, {near} allowed")
+    return Plan([at.tolist()], most_rate, (have / have.sum()).tolist(), have.tolist(), targets.tolist(), tokens.tolist())
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, total: float | None = None, most_rate: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,10 +3,11 @@
 import re
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftline.llm import licence_scan
+from siftline.llm import licence_scan, mixing
 
 
 def licences(texts):
@@ -78,3 +79,40 @@ def test_mit_licence_without_its_disclaimer_and_gnu_headers():
     kinds = {"gpl-2.0": ("program", "General Public", "2"), "gpl-3.0": ("program", "General Public", "3"), "lgpl-2.1": ("library", "Lesser General Public", "2.1"), "agpl-3.0": ("program", "Affero General Public", "3")}
     got = licences([mit.split("THE SOFTWARE IS")[0], *(gpl.format(*x) for x in kinds.values())])
     assert got[0] == {"mit"} and [{n for n in g if not n.endswith("-notice")} for g in got[1:]] == [{k} for k in kinds]
+
+
+def least_squares(t, p, targets, bound, steps=20_000):
+    """The least weighted residual that rates within the bound can have, by accelerated projected gradient steps."""
+    metric = np.linalg.inv((p * t[:, None]).T @ p)
+    rate, ahead, k = np.ones(len(t)), np.ones(len(t)), 1.0
+    for _ in range(steps):
+        new, k_new = np.clip(ahead - p @ (metric @ (p.T @ (t * ahead) - targets)), 0, bound), (1 + np.sqrt(1 + 4 * k * k)) / 2
+        rate, ahead, k = new, new + (k - 1) / k_new * (new - rate), k_new
+    return lambda q: (p.T @ (t * q) - targets) @ metric @ (p.T @ (t * q) - targets) / targets.sum(), rate
+
+
+@pytest.mark.parametrize(("alpha", "bound"), [([5, 2, 1], None), ([0.4, 0.3, 0.3], None), ([5, 2, 1], 1.0), ([0.05, 0.03, 0.03], 1.0), ([20, 0.5, 0.5], 1.0), ([0.4, 0.3, 0.3], 2.0), ([5, 2, 1], 2.0)])
+def test_rates_are_fitted_to_the_end(spark, alpha, bound):
+    r = np.random.default_rng(7)
+    p, t = r.dirichlet(alpha, 300) + 1e-12, r.integers(1, 500, 300).astype(float)
+    p /= p.sum(1, keepdims=True)
+    table = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "__tokens long, __p array<double>")
+    plan = mixing.fit_rates(table, mixing.Classifier(object(), np.array([True] * 3)), mixing.WEIGHTS, most_rate=bound)
+    rate = np.array([x.r for x in table.select(plan.rate().alias("r")).collect()])
+    residual, exact = least_squares(t, p, np.array(plan.targets), bound)
+    assert rate.min() >= 0 and rate.max() <= (bound or np.inf) and p.T @ (t * rate) == pytest.approx(plan.expected, rel=1e-6)
+    assert residual(rate) <= residual(exact) + 1e-8
+    if residual(exact) < 1e-10:
+        # met, and by no farther from one than any other rates that meet the targets
+        assert np.array(plan.expected) / sum(plan.expected) == pytest.approx([0.9, 0.05, 0.05], abs=1e-4)
+        assert (t * (rate - 1) ** 2).sum() <= (t * (exact - 1) ** 2).sum() * (1 + 1e-4)
+    else:
+        # the expected tokens are the same for all that have the least residual; so are nearly all rates
+        assert p.T @ (t * exact) == pytest.approx(plan.expected, rel=1e-3) and np.abs(rate - exact).max() < 0.05
+
+
+def test_a_fit_that_does_not_end_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PASSES", 1)
+    table = spark.createDataFrame([(5, [0.7, 0.2, 0.1]), (9, [0.1, 0.8, 0.1]), (7, [0.2, 0.2, 0.6])], "__tokens long, __p array<double>")
+    with pytest.raises(ArithmeticError):
+        mixing.fit_rates(table, mixing.Classifier(object(), np.array([True] * 3)), mixing.WEIGHTS, most_rate=1.0)
