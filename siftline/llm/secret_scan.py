@@ -70,16 +70,24 @@ class Rule(NamedTuple):
     check: Callable[[str], bool] | None
 
 
+#: A value in quotes ends at the closing quote; one without quotes begins and ends as a word does, and holds a digit, so that
+#: neither prose ("password: internationalization") nor code ("token = function_of(x)") is one.
+_ASSIGNED = re.compile(
+    r"""(?:token|secret|password|passwd|api[_-]?key|(?:access|private)[_-]key)(?:[_-](?:access[_-])?key)?["']?\s{0,3}(?::=|=>?|:)\s{0,3}"""
+    r"""(?:["'](?=[A-Za-z0-9+/_.=-]{16,}["'])|(?=[A-Za-z0-9+/_.=-]*[0-9]))([A-Za-z0-9+/_.=-]{16,}+)(?![(\[])""",
+    re.IGNORECASE,
+)
+
 RULES = (
     Rule("code_host_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"(gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])"), _crc_tail),
     Rule("package_registry_token", ("npm_",), re.compile(r"(npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])"), _crc_tail),
     Rule("extended_private_key", ("xprv",), re.compile(r"(xprv[1-9A-HJ-NP-Za-km-z]{107})(?![1-9A-HJ-NP-Za-km-z])"), _base58check),
     Rule("signed_web_token", ("eyj",), re.compile(r"(eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,})"), _json_header),
     Rule("cloud_access_key", ("akia", "asia"), re.compile(r"((?:AKIA|ASIA)[A-Z2-7]{16})(?![A-Z0-9])"), None),
-    Rule("payment_secret_key", ("sk_live_", "rk_live_"), re.compile(r"([sr]k_live_[A-Za-z0-9]{16,99})"), None),
-    Rule("chat_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), re.compile(r"(xox[abprs]-[A-Za-z0-9-]{10,200})"), None),
+    Rule("payment_secret_key", ("sk_live_", "rk_live_"), re.compile(r"([sr]k_live_[A-Za-z0-9]{16,})"), None),
+    Rule("chat_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), re.compile(r"(xox[abprs]-[A-Za-z0-9-]{10,})"), None),
     Rule("private_key_block", ("-----begin ",), re.compile(r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )?PRIVATE KEY-----)"), None),
-    Rule("assigned_secret", ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key"), re.compile(r"""(?:token|secret|password|passwd|api_?key|access_key)["']?\s{0,3}(?::=|=>?|:)\s{0,3}["']([A-Za-z0-9+/_.=-]{16,256})["']""", re.IGNORECASE), None),
+    Rule("assigned_secret", ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "access-key", "private_key", "private-key"), _ASSIGNED, None),
 )
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftline.llm import licence_scan, mixing
+from siftline.llm import licence_scan, mixing, secret_scan
 
 
 def licences(texts):
@@ -116,3 +116,32 @@ def test_a_fit_that_does_not_end_is_an_error(spark, monkeypatch):
     table = spark.createDataFrame([(5, [0.7, 0.2, 0.1]), (9, [0.1, 0.8, 0.1]), (7, [0.2, 0.2, 0.6])], "__tokens long, __p array<double>")
     with pytest.raises(ArithmeticError):
         mixing.fit_rates(table, mixing.Classifier(object(), np.array([True] * 3)), mixing.WEIGHTS, most_rate=1.0)
+
+
+LONG = "a1B2c3D4" * 100
+
+
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        (f'token = "{LONG}"', LONG),
+        (f"secret: '{LONG}'", LONG),
+        ("api_key=abcdefghijkl1234", "abcdefghijkl1234"),
+        ("password: hunter2hunter2hunter2\nnext: x", "hunter2hunter2hunter2"),
+        ("export SECRET_KEY=" + LONG + "\n", LONG),
+        ('secret_key = "0123456789abcdef"', "0123456789abcdef"),
+        ('api-key: "0123456789abcdef"', "0123456789abcdef"),
+        ('"secret_access_key": "0123456789abcdef"', "0123456789abcdef"),
+        ('password = "correcthorsebatterystaple"', "correcthorsebatterystaple"),
+        ("xoxb-" + LONG, "xoxb-" + LONG),
+        ("sk_live_" + LONG, "sk_live_" + LONG),
+    ],
+    ids=lambda x: x[:24],
+)
+def test_secrets_of_any_length_and_without_quotes(text, secret):
+    assert [f.secret for f in secret_scan.scan_text(f"so {text} end")] == [secret]
+
+
+def test_prose_and_code_are_no_secrets():
+    for text in ("password: internationalization", "token = function_of_something(x1)", "the secret is 0123456789abcdef", "token = short1", "token = sha256_of_all_the_words(x1)", 'token = "no closing 0123456789abcdef', "api_key = os.environ['KEY_NUMBER_1234567']"):
+        assert secret_scan.scan_text(text) == []
