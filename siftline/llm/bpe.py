@@ -1,25 +1,36 @@
 """Byte-pair encoding through a table of distinct words, and decoding through the table of pieces.
 
-``encode`` splits every text into words (the pieces that the vocabulary's pattern gives), reduces them
-to the distinct words of the whole corpus, encodes each distinct word once, and joins the ids back to
-the words' positions. ``decode`` joins each id to its piece and glues the pieces.
+``encode`` splits every text into words (the pieces that the vocabulary's pattern gives), encodes each
+distinct word of the corpus once, and joins the ids back to the words' positions. ``decode`` joins each
+id to its piece and glues the pieces.
 
-The splitting is done for a whole Arrow batch at once on arrays of character classes; it gives what
-``PATTERN`` gives. The table of distinct words follows the corpus, so its bytes are counted first: up
-to ``DICTIONARY_BYTES`` it is broadcast, and each batch looks its words up in place, without a shuffle
-of texts; beyond that (or where two words had the same 64-bit hash) words and positions are joined to
-the table by a shuffle on the word. Both give the same ids.
+The table of distinct words has two parts, at every size of the corpus:
+
+- the head, at most ``HEAD_WORDS`` words that are met most often (some 35 MB), is broadcast;
+- every other word is shuffled: each block of rows (about 1 MB of whole texts) asks once for each of its
+  distinct words, the requests are sorted by word, each word is encoded once, and the answers are sent to
+  the block, where they meet its rows, which are shuffled as one compressed blob.
+
+Words are told apart by their bytes; hashes only narrow the search in the head. The head only decides
+which way a word's ids come; any choice of it gives the same result.
+
+The splitting is done for a whole block at once on arrays of character classes; it gives what
+``PATTERN`` gives.
 
 Defined cases: a null text gives null ids and a null count, an empty one no ids and 0; repeated rows
-and null or repeated doc_ids each give a row of their own; special tokens' strings are ordinary text;
-other columns are never read.
+and null or repeated ids of documents each give a row of their own; special tokens' strings are ordinary
+text; columns that aren't in ``keep`` are never read, and kept ones called ``token_ids`` or ``n_tokens``
+give way to the new ones. Requests and blobs are made in two passes over the rows: rows whose plan has a
+shuffle are written first, and a block whose passes differ all the same is an error, never a wrong result.
 """
 
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +43,10 @@ from .shared import U64, code_points, pieces, span_hashes, utf8, written
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-DICTIONARY_BYTES = 64 << 20
+HEAD_WORDS = 1 << 20
+#: Words are counted over so many pieces before those met fewer than LEAST_MET times are left to the tail.
+WINDOW = 16
+LEAST_MET = 4
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
@@ -82,26 +96,9 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, counts
 
 
-def _binary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    lengths = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    flat = data[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])]
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
-
-
-def _distinct_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(0, U64)
-    for batch in batches:
-        for piece in pieces(batch, "text"):
-            data, offsets = utf8(piece.column("text"))
-            at, _ = split(data, offsets)
-            starts, ends = at[:-1], at[1:]
-            hashes, first = np.unique(span_hashes(data, starts, ends), return_index=True)
-            if len(seen):
-                new = seen[np.minimum(np.searchsorted(seen, hashes), len(seen) - 1)] != hashes
-                hashes, first = hashes[new], first[new]
-            seen = np.union1d(seen, hashes) if len(seen) < 1_000_000 else hashes
-            yield pa.RecordBatch.from_arrays([_binary(data, starts[first], ends[first])], ["word"])
+def tiles(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The words that ``split`` cuts the bytes into, dictionary-encoded by their bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
 
 
 @cache
@@ -113,62 +110,146 @@ def _encoder(path: str):
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _flat(offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the elements of the chosen lists, end of each list among them)."""
+    counts = offsets[which + 1] - offsets[which]
+    ends = np.cumsum(counts)
+    return np.repeat(offsets[which] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0), ends
+
+
+def _bounds(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    data, offsets = utf8(words)
+    return span_hashes(data, offsets[:-1], offsets[1:])
+
+
+# ---------------------------------------------------------------- the head
+class Head(NamedTuple):
+    hashes: np.ndarray  # sorted, each once
+    words: pa.Array
+    offsets: np.ndarray  # of each word's ids in ``ids``
+    ids: np.ndarray
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 for words that aren't in the head."""
+        out = np.full(len(words), -1)
+        if len(self.hashes) and len(words):
+            hashes = _hashes(words)
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            maybe = np.flatnonzero(self.hashes[at] == hashes)
+            same = pc.equal(words.take(pa.array(maybe)), self.words.take(pa.array(at[maybe]))).to_numpy(zero_copy_only=False)
+            out[maybe[same]] = at[maybe[same]]
+        return out
+
+
+def head_of(words: pa.Array, lists: pa.Array) -> Head:
+    """Of words with the same hash one is in the head, the others are left to the tail."""
+    hashes, first = np.unique(_hashes(words), return_index=True)
+    lists = lists.take(pa.array(first))
+    ids = lists.flatten().to_numpy()
+    kind = np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.int32
+    return Head(hashes, words.take(pa.array(first)), _bounds(pc.list_value_length(lists).to_numpy(zero_copy_only=False)), ids.astype(kind))
+
+
+def _met_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.Table] = []
+
+    def counted() -> pa.RecordBatch:
+        got = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+        got = got.filter(pc.greater_equal(got.column("n_sum"), LEAST_MET)).combine_chunks()
+        held.clear()
+        return pa.RecordBatch.from_arrays([got.column(c).combine_chunks() if got.num_rows else pa.array([], t) for c, t in (("word", pa.binary()), ("n_sum", pa.int64()))], ["word", "n"])
+
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            data, offsets = utf8(piece.column("text"))
+            words = tiles(data, split(data, offsets)[0])
+            held.append(pa.table({"word": words.dictionary, "n": np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))}))
+            if len(held) == WINDOW:
+                yield counted()
+    if held:
+        yield counted()
+
+
 def _encode_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path).encode_ordinary
         for batch in batches:
-            found = batch.column("word")
-            ids = pa.array([encode(w.decode()) for w in found.to_pylist()], pa.list_(pa.int32()))
-            data, offsets = utf8(found.cast(pa.string()))
-            hashes = span_hashes(data, offsets[:-1], offsets[1:])
-            yield pa.RecordBatch.from_arrays([found, pa.array(hashes.view(np.int64)), ids], ["word", "hash", "ids"])
+            ids = pa.array([encode(w.decode()) for w in batch.column("word").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), ids], ["word", "ids"])
 
     return run
 
 
-def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """(word, hash, ids): each distinct word of the column ``text``, encoded once."""
-    words = texts.mapInArrow(_distinct_batches, "word binary").distinct()
-    return words.mapInArrow(_encode_batches(path), "word binary, hash long, ids array<int>")
+def head_table(texts: DataFrame, path: str, most: int = HEAD_WORDS) -> DataFrame:
+    """(word, ids): the words of the column ``text`` that are met most often, each encoded once; ``most`` rows at most."""
+    met = texts.mapInArrow(_met_batches, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return met.orderBy(F.desc("n"), "word").limit(most).select("word").mapInArrow(_encode_batches(path), "word binary, ids array<int>")
 
 
-def _flat(offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of the elements of the chosen lists, end of each list among them)."""
-    counts = offsets[which + 1] - offsets[which]
-    ends = np.cumsum(counts)
-    return np.repeat(offsets[which] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0), ends
+# ---------------------------------------------------------------- the tail
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The pieces of a partition, numbered; the same for every pass over the same rows."""
+    number = 0
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            yield (piece.column("part")[0].as_py() << 32) + number, piece
+            number += 1
+
+
+def _request_batches(head):
+    """A row for each distinct word of a block that the head lacks, and one of rank -1 with the checksum of its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, piece in _blocks(batches):
+            data, offsets = utf8(piece.column("text"))
+            words = tiles(data, split(data, offsets)[0]).dictionary
+            words = words.filter(pa.array(head.value.find(words) < 0))
+            asked = pa.concat_arrays([pa.array([zlib.crc32(data).to_bytes(4, "big")], pa.binary()), words])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), block)), pa.array(np.arange(-1, len(asked) - 1, dtype=np.int32)), asked], ["block", "rank", "word"])
+
+    return run
 
 
-def _lookup_batches(table, others: list[str], path: str | None):
-    """Looks words up in place; with a vocabulary's path also decodes the ids and compares."""
+def _answer_batches(path: str):
+    """Rows sorted by word: each distinct word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, lengths, ids = table.value
-        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int32)], dtype=np.int32)
+        encode, last, known = _encoder(path).encode_ordinary, None, None
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                data, bounds = utf8(piece.column("text"))
-                at, counts = split(data, bounds)
-                own, inverse = np.unique(span_hashes(data, at[:-1], at[1:]), return_inverse=True)
-                positions, ends = _flat(offsets, np.searchsorted(hashes, own)[inverse])
-                cuts = np.concatenate([[0], ends])[counts]
-                flat = ids[positions].astype(np.int32)
-                columns = [*(piece.column(c) for c in others), _lists(cuts, flat, piece.column("text"))]
-                if path:
-                    columns.append(pa.array(_same(flat, cuts, data, bounds, path)))
-                yield pa.RecordBatch.from_arrays(columns, [*others, "token_ids", *(["round_trip"] if path else [])])
+            if not batch.num_rows:
+                continue
+            special = batch.column("rank").to_numpy() < 0
+            found = batch.column("word").filter(pa.array(~special)).dictionary_encode()
+            lists = []
+            for word in found.dictionary.to_pylist():
+                if word != last:
+                    known, last = encode(word.decode()), word
+                lists.append(known)
+            at = np.empty(len(special), np.int64)
+            at[~special], at[special] = found.indices.to_numpy(), len(lists) + np.arange(special.sum())
+            lists += [[int.from_bytes(w, "big", signed=True)] for w in batch.column("word").filter(pa.array(special)).to_pylist()]
+            ids = pa.array(lists, pa.list_(pa.int32())).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("rank"), ids], ["block", "rank", "ids"])
 
     return run
 
 
-def _same(ids: np.ndarray, cuts: np.ndarray, data: np.ndarray, bounds: np.ndarray, path: str) -> np.ndarray:
-    """Which texts the decoded ids equal byte for byte."""
-    offsets, flat = _piece_table(path)
-    positions, ends = _flat(offsets, ids)
-    got, ends = flat[positions], np.concatenate([[0], ends])[cuts]
-    if np.array_equal(ends, bounds) and np.array_equal(got, data):
-        return np.ones(len(bounds) - 1, bool)
-    return np.array([np.array_equal(got[a:b], data[c:d]) for a, b, c, d in zip(ends[:-1], ends[1:], bounds[:-1], bounds[1:])], bool)
+def _blob_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block: its rows, compressed."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    for block, piece in _blocks(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, piece.schema, options=options) as out:
+            out.write_batch(piece)
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-2], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rank", "blob"])
+
+
+class RowsDiffer(RuntimeError):
+    """Two passes over the rows gave different blocks."""
 
 
 def _lists(bounds: np.ndarray, values: np.ndarray, texts: pa.Array) -> pa.Array:
@@ -176,68 +257,82 @@ def _lists(bounds: np.ndarray, values: np.ndarray, texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values))
 
 
-def _position_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct word of a text, with its positions."""
-    for batch in batches:
-        for piece in pieces(batch, "text"):
-            data, offsets = utf8(piece.column("text"))
-            at, counts = split(data, offsets)
-            k1, k2 = (piece.column(c).to_numpy() for c in ("k1", "k2"))
-            for i in range(piece.num_rows):
-                spots: dict[bytes, list[int]] = {}
-                for pos in range(counts[i], counts[i + 1]):
-                    spots.setdefault(data[at[pos] : at[pos + 1]].tobytes(), []).append(pos - counts[i])
-                m = len(spots)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, k1[i])), pa.array(np.full(m, k2[i])), pa.array(list(spots), pa.binary()), pa.array(list(spots.values()), pa.list_(pa.int32()))], ["k1", "k2", "word", "positions"])
-
-
-def _encode_by_shuffle(rows: DataFrame, words: DataFrame) -> DataFrame:
-    rows = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64("text", F.lit(1))})
-    spots = rows.where("text is not null").select("k1", "k2", "text").dropDuplicates(["k1", "k2"]).mapInArrow(_position_batches, "k1 long, k2 long, word binary, positions array<int>")
-    placed = spots.join(words.select("word", "ids"), "word").groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("ids")))))).alias("placed"))
-    placed = placed.select("k1", "k2", F.flatten("placed.ids").alias("token_ids"))
-    out = rows.withColumn("empty", F.col("text") == "").drop("text").join(placed, ["k1", "k2"], "left")
-    return out.withColumn("token_ids", F.when(F.col("empty"), F.array().cast("array<int>")).otherwise(F.col("token_ids"))).drop("k1", "k2", "empty")
-
-
-def _table(words: DataFrame, most_bytes: int) -> tuple[np.ndarray, ...] | None:
-    """(sorted hashes, number of ids of each, all ids), or None if that takes more bytes or hashes collide."""
-    n, ids, top = words.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.max(F.array_max("ids")), F.lit(0))).first()
-    kind = np.uint16 if top < 1 << 16 else np.int32
-    if 10 * n + np.dtype(kind).itemsize * ids > most_bytes:
-        return None
-    got = words.select("hash", "ids").toArrow()
-    hashes, lists = got.column("hash").to_numpy().view(U64), got.column("ids").combine_chunks()
-    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(kind)
-    del got, lists
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    if (hashes[1:] == hashes[:-1]).any():
-        return None
-    return hashes, np.diff(offsets)[order].astype(np.int32), flat[_flat(offsets, order)[0]]
-
-
-def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", dictionary_bytes: int = DICTIONARY_BYTES, verify: bool = False) -> DataFrame:
-    """The columns ``keep`` of each row, ``token_ids`` and ``n_tokens``; with ``verify`` also ``round_trip``.
-
-    ``round_trip`` says whether the ids, decoded, give the text again (true for a null text).
-    """
-    rows = docs.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("text"))
-    words = written(word_table(rows.select("text").where("text is not null"), vocabulary))
-    table = _table(words, dictionary_bytes)
-    if table:
-        shared = docs.sparkSession.sparkContext.broadcast(table)
-        names = [f"__k{i}" for i in range(len(keep))]
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"), "token_ids array<int>", *(["round_trip boolean"] if verify else [])])
-        out = rows.mapInArrow(_lookup_batches(shared, names, vocabulary if verify else None), schema)
-    elif verify:
-        out = _encode_by_shuffle(rows.withColumn("__source", F.col("text")), words)
-        out = decode(out, vocabulary=vocabulary).withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("__source")))
-    else:
-        out = _encode_by_shuffle(rows, words)
-    return out.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), "token_ids", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"), *(["round_trip"] if verify else []))
+def placed(piece: pa.RecordBatch, head: Head, answers: pa.Array) -> pa.Array:
+    """The ids of each text: the head's, and those of the other distinct words in the order in which they first occur."""
+    data, offsets = utf8(piece.column("text"))
+    at, counts = split(data, offsets)
+    words = tiles(data, at)
+    where = head.find(words.dictionary)
+    other = np.flatnonzero(where < 0)
+    if len(other) != len(answers):
+        raise RowsDiffer("the rows were read in another order or number; write them to a table first")
+    where[other] = len(head.offsets) - 1 + np.arange(len(other))
+    bounds = np.concatenate([head.offsets, head.offsets[-1] + np.cumsum(pc.list_value_length(answers).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    own, ends = _flat(bounds, where)  # the ids of the piece's distinct words, in the head and then in the answers
+    pool, inside = np.empty(len(own), np.int32), own < len(head.ids)
+    pool[inside], pool[~inside] = head.ids[own[inside]], answers.flatten().to_numpy()[own[~inside] - len(head.ids)]
+    own, bounds = pool, np.concatenate([[0], ends])
+    positions, ends = _flat(bounds, words.indices.to_numpy())
+    return _lists(np.concatenate([[0], ends])[counts], own[positions], piece.column("text"))
+
+
+def _assemble_batches(head, keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blob, check, answers, now = None, None, [], None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if now is None:
+                return
+            if blob is None or check is None:
+                raise RowsDiffer("a block lacks its rows or its requests; write the rows to a table first")
+            for piece in pa.ipc.open_stream(blob):
+                if zlib.crc32(utf8(piece.column("text"))[0]).to_bytes(4, "big") != check:
+                    raise RowsDiffer("the rows were read in another order; write them to a table first")
+                ids = placed(piece, head.value, pa.concat_arrays(answers) if answers else pa.array([], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), ids], [*keep, "token_ids"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, rank = batch.column("block").to_numpy(), batch.column("rank").to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            for a, b in zip(first, [*first[1:], len(block)]):
+                if block[a] != now:
+                    yield from flush()
+                    blob, check, answers, now = None, None, [], block[a]
+                special = int(np.searchsorted(rank[a:b], 0))
+                for i in range(a, a + special):
+                    if rank[i] == -2:
+                        blob = batch.column("blob")[i].as_buffer()
+                    else:
+                        check = batch.column("ids")[i].as_py()[0].to_bytes(4, "big", signed=True)
+                if a + special < b:
+                    answers.append(batch.column("ids").slice(a + special, b - a - special))
+        yield from flush()
+
+    return run
 
 
+def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", head_words: int = HEAD_WORDS) -> DataFrame:
+    """The columns ``keep`` of each row, ``token_ids`` and ``n_tokens``."""
+    keep = tuple(c for c in keep if c not in ("token_ids", "n_tokens"))
+    names = [f"__k{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(text_col).cast("string").alias("text"))
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = written(rows)
+    got = head_table(rows.select("text"), vocabulary, head_words).toArrow()
+    rows = rows.withColumn("part", F.spark_partition_id())  # of the rows' own plan, also within a union
+    head = docs.sparkSession.sparkContext.broadcast(head_of(*(pa.concat_arrays(got.column(c).chunks) if got.num_rows else pa.array([], t) for c, t in (("word", pa.binary()), ("ids", pa.list_(pa.int32()))))))
+    asked = rows.mapInArrow(_request_batches(head), "block long, rank int, word binary")
+    answers = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_answer_batches(vocabulary), "block long, rank int, ids array<int>")
+    blobs = rows.mapInArrow(_blob_batches, "block long, rank int, blob binary")
+    both = answers.unionByName(blobs, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "rank")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names), "token_ids array<int>"])
+    out = both.mapInArrow(_assemble_batches(head, names), schema)
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), "token_ids", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"))
+
+
+# ---------------------------------------------------------------- decoding
 @cache
 def _piece_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     with open(path, "rb") as f:
@@ -246,13 +341,13 @@ def _piece_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.frombuffer(b"".join(parts), np.uint8)
 
 
-def _decode_batches(ids_col: str, path: str):
+def _decode_batches(ids_at: int, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, flat = _piece_table(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                lists = batch.column(ids_col)
+                lists = batch.column(ids_at)
                 ids = pc.fill_null(lists.flatten(), -1).to_numpy()
                 known = (ids >= 0) & (ids < len(offsets) - 1)
                 positions, ends = _flat(offsets, np.where(known, ids, 0)[known])
@@ -270,7 +365,10 @@ def decode(encoded: DataFrame, ids_col: str = "token_ids", vocabulary: str = f"{
 
     The table of pieces has the size of the vocabulary, whatever the corpus, so each batch joins it in
     place. Null ids and ids that the vocabulary lacks give nothing; a null list gives null; bytes that
-    aren't UTF-8 give U+FFFD.
+    aren't UTF-8 give U+FFFD; a column that is called ``decoded`` gives way to the new one.
     """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), "decoded string"])
-    return encoded.mapInArrow(_decode_batches(ids_col, vocabulary), schema)
+    encoded = encoded.select(*(F.col(f"`{c}`") for c in encoded.columns if c != "decoded"))
+    names = encoded.columns
+    flat = encoded.toDF(*(f"__k{i}" for i in range(len(names))))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema), "decoded string"])
+    return flat.mapInArrow(_decode_batches(names.index(ids_col), vocabulary), schema).toDF(*names, "decoded")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, chat, language_id, licence_scan, mixing, near_dedup, ogg, quality, secret_scan, url_filter
 
@@ -18,8 +19,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document, and whether the text decoded from them is the text itself."""
-    return bpe.encode(table(spark, sf_dir, "documents"), verify=True)
+    """Every document encoded and decoded again: its ids, and whether the text decoded from them is the text itself."""
+    docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2("text", 256))
+    back = bpe.decode(bpe.encode(docs, keep=("doc_id", "text_sha256")))
+    return back.select("doc_id", "token_ids", "n_tokens", F.sha2("decoded", 256).eqNullSafe(F.col("text_sha256")).alias("round_trip"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
