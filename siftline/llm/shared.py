@@ -31,11 +31,16 @@ _powers: dict[str, np.ndarray] = {}
 
 # ---------------------------------------------------------------- durable intermediate tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder of this machine, in local mode only (as in tests); elsewhere it is an error.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given
     if not (at := spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="siftline-")
         atexit.register(shutil.rmtree, at, True)
         spark.sparkContext.setCheckpointDir(at)
@@ -48,14 +53,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/siftline-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """As ``durable``, but as compressed Parquet: for wider tables."""
+    """As ``durable``, but as compressed Parquet, for wider tables. ``clear`` removes them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/siftline-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes every table that this application has ``written``; to be called when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_side(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A durable ``small`` of a few numeric columns, hinted for broadcast if its counted rows allow it."""
     return F.broadcast(small) if small.count() <= rows else small
@@ -111,7 +126,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _power(kind: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        have = np.full(max(n, 2 * PIECE_BYTES), base, U64)
+        have = np.full(max(n, PIECE_BYTES), base, U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
         if len(have) <= 4 * PIECE_BYTES:
