@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, code_points, span_hashes, utf8, words
+from .shared import U64, code_points, mix, span_hashes, utf8, words
 
 ROWS = 256
 WORD_BITS = 13
@@ -61,13 +61,18 @@ def char_counts(texts: pa.Array, orders: tuple[int, ...], bits: int) -> np.ndarr
     return flat.reshape(n, 1 << bits).astype(np.float32)
 
 
-def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """((texts, features), number of words): words in lower case, and n-grams of characters as they are."""
+def text_features(texts: pa.Array, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """((texts, features), number of words): words in lower case (and pairs of words that follow each other), and n-grams of characters as they are."""
     data, offsets = utf8(texts, lower=True)
     starts, ends, row = words(data, offsets)
-    bucket = span_hashes(data, starts, ends) >> U64(64 - WORD_BITS)
-    by_word = _counts(row, bucket, len(offsets) - 1, 1 << WORD_BITS)
-    return np.concatenate([_unit(by_word), _unit(char_counts(texts, ORDERS, CHAR_BITS))], 1), by_word.sum(1).astype(np.int64)
+    hashes, n = span_hashes(data, starts, ends), len(offsets) - 1
+    by_word = _counts(row, hashes >> U64(64 - WORD_BITS), n, 1 << WORD_BITS)
+    groups = [_unit(by_word)]
+    if pairs:
+        both = row[1:] == row[:-1]
+        bucket = mix(hashes[:-1][both] * U64(0x9E3779B97F4A7C15) + hashes[1:][both]) >> U64(64 - WORD_BITS)
+        groups.append(_unit(_counts(row[1:][both], bucket, n, 1 << WORD_BITS)))
+    return np.concatenate([*groups, _unit(char_counts(texts, ORDERS, CHAR_BITS))], 1), by_word.sum(1).astype(np.int64)
 
 
 def _newton(gram: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
@@ -130,13 +135,14 @@ def probabilities(model: Model, x: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
-    """At most ``most`` rows {id, label, text} of ``docs`` whose id ``labels`` (id, label) has, by the least hashes of ids.
+    """At most ``most`` rows {id, label, text}, one for each id that both ``docs`` and ``labels`` (id, label) have, by the least hashes of ids.
 
-    Only ids are read to choose them; several labels of an id count as the greatest; null texts are left out.
+    Ids of any type are compared as strings. Several labels of an id count as the greatest; of several
+    texts of an id the one with the least hash counts, chosen before anything is collected; null texts are left out.
     """
-    labels = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
-    chosen = labels.orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    got = rows.join(F.broadcast(chosen), "id").toArrow().to_pylist()
-    order = {r["id"]: k for k, r in enumerate(sorted(got, key=lambda r: (r["id"] * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))}
-    return sorted(got, key=lambda r: (order[r["id"]], r["text"]))
+    text = lambda c: F.col(c).cast("string")
+    labels = labels.select(text("id").alias("id"), "label").where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    chosen = labels.withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(most)
+    rows = docs.select(text(id_col).alias("id"), text(text_col).alias("text")).where("text is not null")
+    got = rows.join(F.broadcast(chosen), "id").groupBy("place", "id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return sorted(got.toArrow().to_pylist(), key=lambda r: (r["place"], r["id"]))

@@ -1,13 +1,13 @@
-"""Quality rules: a calibrated logistic regression on hashed words and character n-grams.
+"""Quality rules: a calibrated logistic regression on hashed n-grams of words (one and two) and characters.
 
 Trained on at most ``MOST_ROWS`` labelled documents (quality 1 or 0), it gives each document the
 probability of being good, held against two fixed thresholds: under ``REJECT`` it is rejected, from
 ``ACCEPT`` on accepted, in between to be reviewed. Texts are scored whole, in Arrow batches.
 
 Defined cases: null texts and texts without any character are rejected with a null probability;
-labels that are null or belong to no document are not used; without two kinds of labels every other
-text is to be reviewed, with a null probability; repeated rows each give a row; other columns are
-never read.
+labels that are null or belong to no document are not used; of a labelled doc_id that is repeated one text
+is fitted on; without two kinds of labels every other text is to be reviewed, with a null probability;
+repeated rows and null doc_ids each give a row; doc_ids may be of any type; other columns are never read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ ACCEPT = 0.5
 
 
 def features(texts: list[str]) -> np.ndarray:
-    return np.concatenate([lr.text_features(pa.array(texts[i : i + lr.ROWS], pa.string()))[0] for i in range(0, len(texts), lr.ROWS)])
+    return np.concatenate([lr.text_features(pa.array(texts[i : i + lr.ROWS], pa.string()), pairs=True)[0] for i in range(0, len(texts), lr.ROWS)])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, label_col: str = "quality") -> lr.Model | None:
@@ -49,7 +49,7 @@ def _batches(shared):
                 for at in range(0, piece.num_rows, lr.ROWS):
                     part = piece.slice(at, lr.ROWS)
                     blank = pc.equal(pc.fill_null(pc.binary_length(part.column("text")), 0), 0).to_numpy(zero_copy_only=False)
-                    p = np.zeros(part.num_rows) if model is None else lr.probabilities(model, lr.text_features(part.column("text"))[0])[:, 0]
+                    p = np.zeros(part.num_rows) if model is None else lr.probabilities(model, lr.text_features(part.column("text"), pairs=True)[0])[:, 0]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p, mask=blank | (model is None)), pa.array(blank)], ["doc_id", "p_good", "blank"])
 
     return run
