@@ -19,8 +19,9 @@ Targets: the weights, scaled so that the domain which is scarcest against its we
 Defined cases: a null or wordless text has no tokens, the mean posteriors (weighted by tokens) stand
 for its own, and it counts for nothing in the totals; labels that are null or belong to no document
 are not used; a domain without labelled rows has posteriors zero and its weight is left out; without
-two labelled domains every rate is 1; repeated rows each have a rate, the same; an empty table gives
-an empty result; other columns are never read.
+two labelled domains every rate is 1; repeated rows each have a rate, the same; of a labelled doc_id that is
+repeated one text is fitted on; doc_ids may be null or of any type; an empty table gives an empty result;
+other columns are never read by ``mix``, and kept by ``draw``, whatever their names.
 """
 
 from __future__ import annotations
@@ -188,9 +189,10 @@ def draw(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS
     Whether one more is drawn depends on a hash of the doc_id and text alone. All columns are kept.
     """
     classifier = train(docs, labels)
-    plan = fit_rates(written(with_posteriors(docs, classifier, [], text_col)), classifier, weights, total, most_rate)
     at = {c: f"__k{i}" for i, c in enumerate(docs.columns)}
-    rows = with_posteriors(docs, classifier, docs.columns, text_col).withColumn("__rate", plan.rate())
+    # scored once: the fit's passes read only tokens and posteriors of what is written here
+    table = written(with_posteriors(docs, classifier, docs.columns, text_col))
+    rows = table.withColumn("__rate", fit_rates(table, classifier, weights, total, most_rate).rate())
     chance = F.pmod(F.xxhash64(F.lit("mixing"), at[id_col], at[text_col]), F.lit(1 << 40)) / float(1 << 40)
     copies = (F.floor("__rate") + F.when(chance < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("int")
     rows = rows.withColumn("__copies", copies).where("__copies > 0")
