@@ -11,7 +11,7 @@ Fitting uses at most ``PER_LABEL`` labelled texts of each language (the least ha
 ``LANDMARKS`` of them as landmarks. Scoring covers every row and the whole of each text.
 
 Defined cases: texts that are null or have no letters get a null language and are rejected; rows with
-a null label aren't fitted on; repeated rows each give a row; with no labelled text at all every text
+a null label or id aren't fitted on; repeated rows each give a row, and one of them is fitted on; with no labelled text at all every text
 is rejected; equal scores go to the language first in the alphabet; other columns are never read.
 """
 
@@ -52,7 +52,7 @@ def _letters() -> np.ndarray:
     import regex
 
     table = np.zeros(0x110000, bool)
-    for m in regex.finditer(r"[\p{L}\p{M}]+", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)):
+    for m in regex.finditer(r"[\p{L}\p{M}]+", np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")]).tobytes().decode("utf-32-le")):
         table[ord(m[0][0]) : ord(m[0][-1]) + 1] = True
     table[0xD800:0xE000] = False
     return table
@@ -116,12 +116,16 @@ def scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = PER_LABEL) -> Model:
-    """The model of at most ``per_label`` texts of each label; only ids and labels are read to choose them."""
+    """The model of at most ``per_label`` texts of each label, one for each id; only ids and labels are read to choose them.
+
+    A text goes with the label of its own row; of several texts of an id and label the one with the least hash counts.
+    """
     by = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    ids = docs.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label")).where("id is not null and label is not null").withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_label)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    got = rows.join(F.broadcast(ids), "id").select("label", "n", "text").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["label"], r["n"], r["text"]))
+    text = lambda c: F.col(c).cast("string")
+    ids = docs.select(text(id_col).alias("id"), text(label_col).alias("label")).where("id is not null and label is not null").distinct().withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_label)
+    rows = docs.select(text(id_col).alias("id"), text(label_col).alias("label"), text(text_col).alias("text")).where("text is not null")
+    got = rows.join(F.broadcast(ids), ["id", "label"]).groupBy("label", "n").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).toArrow().to_pylist()
+    got.sort(key=lambda r: (r["label"], r["n"]))
     return fit([r["text"] for r in got], [r["label"] for r in got])
 
 
