@@ -8,9 +8,10 @@ other packets that end there are spread evenly from the previous position on. St
 known by its first packet (Opus, Vorbis, Speex, FLAC) have times in seconds.
 
 A lost page, seen by the page numbers, drops the packets that it held parts of and marks the next
-packet of its stream with ``gap``. Defined cases: null or empty content and bytes without pages give
+packet of its stream with ``gap``. How long the lost packets were isn't known, so up to the next page with
+a position only that page's last packet has a time; a stream that begins in the middle is alike. Defined cases: null or empty content and bytes without pages give
 no packets; a packet that its file's end cuts off is dropped; a null id is carried along; repeated
-rows give their packets again; a page without the end of a packet has no position.
+rows give their packets again; a page without the end of a packet has no position; other columns are never read.
 """
 
 from __future__ import annotations
@@ -95,14 +96,16 @@ class _Stream:
         self.rate, self.skip, self.headers = 0.0, 0, 0
         self.parts: list[bytes] | None = None
         self.number: int | None = None
-        self.granule, self.gap = 0, False
+        self.granule: int | None = 0  # the last known position; None behind a gap
+        self.gap = False
 
     def page(self, page: Page) -> Iterator[Packet]:
         if self.number is not None and page.number != (self.number + 1) & 0xFFFFFFFF or self.number is None and page.number and not page.flags & FIRST:
-            self.parts, self.gap = None, True
+            self.parts, self.gap, self.granule = None, True, None
         self.number = page.number
         if not page.flags & CONTINUED:
-            self.gap |= self.parts is not None
+            if self.parts is not None:
+                self.gap, self.granule = True, None
             self.parts = None
         dropping = bool(page.flags & CONTINUED) and self.parts is None
         done, at = [], 0
@@ -120,7 +123,9 @@ class _Stream:
             if self.count == 0:
                 self.codec, self.rate, self.skip, self.headers = _codec(payload)
             header = self.count < self.headers
-            granule = self.granule + (page.granule - self.granule) * (i + 1) / len(done) if known and not header else None
+            granule = None
+            if known and not header and (self.granule is not None or i + 1 == len(done)):
+                granule = page.granule if i + 1 == len(done) else self.granule + (page.granule - self.granule) * (i + 1) / len(done)
             seconds = (granule - self.skip) / self.rate if granule is not None and self.rate else None
             yield Packet(page.serial, self.link, self.codec, self.count, header, granule, seconds, self.gap, payload)
             self.count, self.gap = self.count + 1, False
