@@ -99,15 +99,16 @@ def log_of(turns: DataFrame, chunk: int = 40) -> DataFrame:
     """An event log that ends in the given turns (conv_id, turn, role, text), as a chat service would have written it.
 
     Texts come in deltas of ``chunk`` characters. Every third turn was first written otherwise and then
-    edited before its last delta; every fifth was begun, answered, and regenerated. Rows with a null
-    conv_id, turn or text give no events.
+    edited before its last delta; every fifth was begun, answered, and regenerated. Turns stand 2^32 apart
+    in the sequence, more than any text has deltas; turn numbers are expected within 2^30 either way. Rows
+    with a null conv_id, turn or text give no events; other columns are never read.
     """
     t = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("message"), "role", "text").where("conv_id is not null and message is not null and text is not null")
     t = t.withColumn("n", F.ceil(F.length("text") / chunk).cast("int")).withColumn("deltas", F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: F.substring("text", (i - 1) * chunk + 1, F.lit(chunk)))).otherwise(F.array(F.lit(""))))
     event = lambda seq, kind, text, message="message", role="role": F.struct(seq.cast("long").alias("seq"), F.col(message).alias("message") if isinstance(message, str) else message.alias("message"), F.lit(kind).alias("kind"), text.alias("text"), F.col(role).alias("role") if isinstance(role, str) else role.alias("role"))
-    base = F.col("message") * 1_000_000
+    base = F.col("message") * (1 << 32)
     plain = F.transform("deltas", lambda d, i: event(base + 100 + i, "delta", d))
     edited = F.concat(F.array(event(base + 50, "delta", F.lit("first draft")), event(base + 51, "edit", F.element_at("deltas", 1))), F.transform(F.slice("deltas", 2, F.greatest(F.size("deltas") - 1, F.lit(0))), lambda d, i: event(base + 100 + i, "delta", d)))
-    again = F.concat(F.array(event(base + 10, "delta", F.lit("to be thrown away")), event(base + 11, "delta", F.lit("an answer to it"), F.col("message") + 500_000_000, F.lit("user")), event(base + 12, "regenerate", F.lit(""))), plain)
+    again = F.concat(F.array(event(base + 10, "delta", F.lit("to be thrown away")), event(base + 11, "delta", F.lit("an answer to it"), F.col("message") + (1 << 40), F.lit("user")), event(base + 12, "regenerate", F.lit(""))), plain)
     events = F.when(F.col("message") % 5 == 4, again).when(F.col("message") % 3 == 2, edited).otherwise(plain)
     return t.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")
