@@ -1,14 +1,18 @@
 """Secret scans: a keyword automaton, anchored expressions near its hits, checksums within the secrets.
 
 An Aho-Corasick automaton runs once over the lower-case texts; only where it meets a rule's keyword is
-that rule's expression tried, anchored at the keyword. Secrets that carry a checksum are then checked:
+that rule's expression tried, anchored at the keyword, if no letter, digit or ``_`` (for some rules, ``-``)
+stands before it (assigned names may have any prefix). Secrets that carry a checksum are then checked:
 ``valid``, or ``invalid`` (dropped); ``none`` where the format has no checksum. Of overlapping finds
-the rule that is earlier in ``RULES`` wins, then the earlier find.
+the rule that is earlier in ``RULES`` wins, then the earlier find. Each expression's work is bounded by
+what no other try of its rule reads again, so crafted texts (a keyword repeated without end) take linear time.
 
 Results carry positions and a SHA-256, never the secret. Whole texts are scanned, whatever their length.
 
 Defined cases: null and empty texts give no finds; a null doc_id is carried along; repeated rows give
-their finds again; tables without rows give none; ``redact`` keeps every row and column.
+their finds again; tables without rows give none; other columns are never read by ``scan``; ``redact``
+keeps every row and column, whatever their names. A header that is no JSON object, or nested beyond what the
+parser takes, makes no token.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import hashlib
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cache
 from typing import NamedTuple
@@ -59,7 +64,7 @@ def _json_header(secret: str) -> bool:
     head = secret.split(".")[0]
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4))), dict)
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
 
 
@@ -68,29 +73,51 @@ class Rule(NamedTuple):
     keywords: tuple[str, ...]  # in lower case; the expression begins at the keyword
     expression: re.Pattern  # its group 1 is the secret
     check: Callable[[str], bool] | None
+    before: str | None = "_"  # what may not stand before, beside letters and digits; None: anything may
 
 
-#: A value in quotes ends at the closing quote; one without quotes begins and ends as a word does, and holds a digit, so that
-#: neither prose ("password: internationalization") nor code ("token = function_of(x)") is one.
-_ASSIGNED = re.compile(
-    r"""(?:token|secret|password|passwd|api[_-]?key|(?:access|private)[_-]key)(?:[_-](?:access[_-])?key)?["']?\s{0,3}(?::=|=>?|:)\s{0,3}"""
-    r"""(?:["'](?=[A-Za-z0-9+/_.=-]{16,}["'])|(?=[A-Za-z0-9+/_.=-]*[0-9]))([A-Za-z0-9+/_.=-]{16,}+)(?![(\[])""",
-    re.IGNORECASE,
-)
+#: A name, and what stands between it and its value. The value is the run of ``_VALUE`` behind it: in quotes it ends at the closing
+#: quote; without quotes it begins and ends as a word does, and holds a digit, so that neither prose ("password: internationalization")
+#: nor code ("token = function_of(x)") is one.
+_ASSIGNED = re.compile(r"""(?:token|secret|password|passwd|api[_-]?key|(?:access|private)[_-]key)(?:[_-](?:access[_-])?key)?["']?\s{0,3}(?::=|=>?|:)\s{0,3}(["']?)""", re.IGNORECASE)
+_VALUE = re.compile(r"[A-Za-z0-9+/_.=-]*")
+_DIGIT_LAST = re.compile(r".*[0-9]", re.DOTALL)
+LEAST_VALUE = 16
+
+#: The headers that an encrypted key may have between its first line and its body.
+_HEADERS = r"(?:\s*[\r\n]\s*[A-Za-z0-9-]{1,64}: [^\r\n]*){0,20}"
 
 RULES = (
     Rule("code_host_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"(gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])"), _crc_tail),
     Rule("package_registry_token", ("npm_",), re.compile(r"(npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])"), _crc_tail),
     Rule("extended_private_key", ("xprv",), re.compile(r"(xprv[1-9A-HJ-NP-Za-km-z]{107})(?![1-9A-HJ-NP-Za-km-z])"), _base58check),
-    Rule("signed_web_token", ("eyj",), re.compile(r"(eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,})"), _json_header),
-    Rule("cloud_access_key", ("akia", "asia"), re.compile(r"((?:AKIA|ASIA)[A-Z2-7]{16})(?![A-Z0-9])"), None),
+    Rule("signed_web_token", ("eyj",), re.compile(r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,})"), _json_header, "_-"),
+    Rule("cloud_access_key", ("akia", "asia"), re.compile(r"((?:AKIA|ASIA)[A-Z2-7]{16})(?![A-Za-z0-9_])"), None),
     Rule("payment_secret_key", ("sk_live_", "rk_live_"), re.compile(r"([sr]k_live_[A-Za-z0-9]{16,})"), None),
-    Rule("chat_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), re.compile(r"(xox[abprs]-[A-Za-z0-9-]{10,})"), None),
-    Rule("private_key_block", ("-----begin ",), re.compile(r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )?PRIVATE KEY-----)"), None),
-    Rule("assigned_secret", ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "access-key", "private_key", "private-key"), _ASSIGNED, None),
+    Rule("chat_token", ("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), re.compile(r"(xox[abprs]-[A-Za-z0-9-]{10,})"), None, "_-"),
+    Rule("private_key_block", ("-----begin ",), re.compile(r"(-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----" + _HEADERS + r"[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )?PRIVATE KEY-----)"), None, None),
+    Rule("assigned_secret", ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "access-key", "private_key", "private-key"), _ASSIGNED, None, None),
 )
 
 
+class _Values:
+    """The values behind assigned names of one text; asked for in order, each run of the text is read once."""
+
+    def __init__(self, text: str):
+        self.text, self.end, self.digit = text, -1, -1  # of the run that was read last: its end, its last digit's place
+
+    def at(self, m: re.Match) -> tuple[int, int] | None:
+        start, quote = m.end(), m[1]
+        if start >= self.end:
+            self.end = _VALUE.match(self.text, start).end()
+            last = _DIGIT_LAST.match(self.text, start, self.end)
+            self.digit = last.end() - 1 if last else -1
+        behind = self.text[self.end : self.end + 1]
+        if self.end - start < LEAST_VALUE or behind in ("(", "[") or (behind not in ("'", '"') if quote else self.digit < start):
+            return None
+        return start, self.end
+
+
 @cache
 def _automaton():
     import ahocorasick
@@ -122,16 +149,22 @@ class Find(NamedTuple):
 def _settle(text: str, tries: list[tuple[int, int]]) -> list[Find]:
     """The finds of one text, from (rule, keyword's place) pairs."""
     out: list[Find] = []
+    starts: list[int] = []
+    values = _Values(text)
     for i, at in sorted(set(tries)):
         rule = RULES[i]
-        m = rule.expression.match(text, at)
-        if not m or (at and (text[at - 1].isalnum() or text[at - 1] == "_") and rule.check is not None):
+        if rule.before is not None and at and (text[at - 1].isalnum() or text[at - 1] in rule.before):
             continue
-        if rule.check and not rule.check(m[1]):
+        if not (m := rule.expression.match(text, at)):
             continue
-        if all(m.end(1) <= f.start or m.start(1) >= f.end for f in out):
-            out.append(Find(rule.kind, m.start(1), m.end(1), "valid" if rule.check else "none", m[1]))
-    return sorted(out, key=lambda f: f.start)
+        span = values.at(m) if rule.expression is _ASSIGNED else m.span(1)
+        if span is None or rule.check and not rule.check(text[span[0] : span[1]]):
+            continue
+        k = bisect_left(starts, span[0])
+        if (k == 0 or out[k - 1].end <= span[0]) and (k == len(out) or span[1] <= out[k].start):
+            out.insert(k, Find(rule.kind, *span, "valid" if rule.check else "none", text[span[0] : span[1]]))
+            starts.insert(k, span[0])
+    return out
 
 
 def scan_text(text: str | None) -> list[Find]:
