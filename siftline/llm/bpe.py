@@ -38,15 +38,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U64, code_points, pieces, span_hashes, utf8, written
+from .shared import code_points, pieces, span_hashes, utf8, written
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEAD_WORDS = 1 << 20
 #: Words are counted over so many pieces before those met fewer than LEAST_MET times are left to the tail.
-WINDOW = 16
-LEAST_MET = 4
+WINDOW = 32
+LEAST_MET = 2
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
 
@@ -56,7 +56,7 @@ def _classes() -> np.ndarray:
     import regex
 
     table = np.zeros(0x110000, np.uint8)
-    everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    everything = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")]).tobytes().decode("utf-32-le")
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         for m in regex.finditer(pattern, everything):
             table[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
@@ -224,16 +224,15 @@ def _answer_batches(path: str):
                 continue
             special = batch.column("rank").to_numpy() < 0
             found = batch.column("word").filter(pa.array(~special)).dictionary_encode()
-            lists = []
+            ids = []
             for word in found.dictionary.to_pylist():
                 if word != last:
-                    known, last = encode(word.decode()), word
-                lists.append(known)
+                    known, last = np.array(encode(word.decode()), "<i4").tobytes(), word
+                ids.append(known)
             at = np.empty(len(special), np.int64)
-            at[~special], at[special] = found.indices.to_numpy(), len(lists) + np.arange(special.sum())
-            lists += [[int.from_bytes(w, "big", signed=True)] for w in batch.column("word").filter(pa.array(special)).to_pylist()]
-            ids = pa.array(lists, pa.list_(pa.int32())).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("rank"), ids], ["block", "rank", "ids"])
+            at[~special], at[special] = found.indices.to_numpy(), len(ids) + np.arange(special.sum())
+            ids += batch.column("word").filter(pa.array(special)).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("rank"), pa.array(ids, pa.binary()).take(pa.array(at))], ["block", "rank", "data"])
 
     return run
 
@@ -245,7 +244,7 @@ def _blob_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, piece.schema, options=options) as out:
             out.write_batch(piece)
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-2], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rank", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-2], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rank", "data"])
 
 
 class RowsDiffer(RuntimeError):
@@ -258,7 +257,7 @@ def _lists(bounds: np.ndarray, values: np.ndarray, texts: pa.Array) -> pa.Array:
 
 
 def placed(piece: pa.RecordBatch, head: Head, answers: pa.Array) -> pa.Array:
-    """The ids of each text: the head's, and those of the other distinct words in the order in which they first occur."""
+    """The ids of each text: the head's, and those of the other distinct words (packed) in the order in which they first occur."""
     data, offsets = utf8(piece.column("text"))
     at, counts = split(data, offsets)
     words = tiles(data, at)
@@ -267,10 +266,10 @@ def placed(piece: pa.RecordBatch, head: Head, answers: pa.Array) -> pa.Array:
     if len(other) != len(answers):
         raise RowsDiffer("the rows were read in another order or number; write them to a table first")
     where[other] = len(head.offsets) - 1 + np.arange(len(other))
-    bounds = np.concatenate([head.offsets, head.offsets[-1] + np.cumsum(pc.list_value_length(answers).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    bounds = np.concatenate([head.offsets, head.offsets[-1] + np.cumsum(pc.binary_length(answers).to_numpy(zero_copy_only=False) // 4, dtype=np.int64)])
     own, ends = _flat(bounds, where)  # the ids of the piece's distinct words, in the head and then in the answers
     pool, inside = np.empty(len(own), np.int32), own < len(head.ids)
-    pool[inside], pool[~inside] = head.ids[own[inside]], answers.flatten().to_numpy()[own[~inside] - len(head.ids)]
+    pool[inside], pool[~inside] = head.ids[own[inside]], np.frombuffer(b"".join(answers.to_pylist()), "<i4")[own[~inside] - len(head.ids)]
     own, bounds = pool, np.concatenate([[0], ends])
     positions, ends = _flat(bounds, words.indices.to_numpy())
     return _lists(np.concatenate([[0], ends])[counts], own[positions], piece.column("text"))
@@ -288,7 +287,7 @@ def _assemble_batches(head, keep: list[str]):
             for piece in pa.ipc.open_stream(blob):
                 if zlib.crc32(utf8(piece.column("text"))[0]).to_bytes(4, "big") != check:
                     raise RowsDiffer("the rows were read in another order; write them to a table first")
-                ids = placed(piece, head.value, pa.concat_arrays(answers) if answers else pa.array([], pa.list_(pa.int32())))
+                ids = placed(piece, head.value, pa.concat_arrays(answers) if answers else pa.array([], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), ids], [*keep, "token_ids"])
 
         for batch in batches:
@@ -303,11 +302,11 @@ def _assemble_batches(head, keep: list[str]):
                 special = int(np.searchsorted(rank[a:b], 0))
                 for i in range(a, a + special):
                     if rank[i] == -2:
-                        blob = batch.column("blob")[i].as_buffer()
+                        blob = batch.column("data")[i].as_buffer()
                     else:
-                        check = batch.column("ids")[i].as_py()[0].to_bytes(4, "big", signed=True)
+                        check = batch.column("data")[i].as_py()
                 if a + special < b:
-                    answers.append(batch.column("ids").slice(a + special, b - a - special))
+                    answers.append(batch.column("data").slice(a + special, b - a - special))
         yield from flush()
 
     return run
@@ -324,9 +323,9 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     rows = rows.withColumn("part", F.spark_partition_id())  # of the rows' own plan, also within a union
     head = docs.sparkSession.sparkContext.broadcast(head_of(*(pa.concat_arrays(got.column(c).chunks) if got.num_rows else pa.array([], t) for c, t in (("word", pa.binary()), ("ids", pa.list_(pa.int32()))))))
     asked = rows.mapInArrow(_request_batches(head), "block long, rank int, word binary")
-    answers = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_answer_batches(vocabulary), "block long, rank int, ids array<int>")
-    blobs = rows.mapInArrow(_blob_batches, "block long, rank int, blob binary")
-    both = answers.unionByName(blobs, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "rank")
+    answers = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_answer_batches(vocabulary), "block long, rank int, data binary")
+    blobs = rows.mapInArrow(_blob_batches, "block long, rank int, data binary")
+    both = answers.unionByName(blobs).repartition("block").sortWithinPartitions("block", "rank")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names), "token_ids array<int>"])
     out = both.mapInArrow(_assemble_batches(head, names), schema)
     return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), "token_ids", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"))

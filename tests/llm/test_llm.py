@@ -130,7 +130,7 @@ def test_bpe_odd_columns(spark):
 def test_bpe_blocks_that_differ_are_an_error():
     piece = pa.RecordBatch.from_arrays([pa.array(["two words"])], ["text"])
     with pytest.raises(bpe.RowsDiffer):
-        bpe.placed(piece, bpe.head_of(pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32()))), pa.array([[1]], pa.list_(pa.int32())))
+        bpe.placed(piece, bpe.head_of(pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32()))), pa.array([b"0123"]))
 
 
 def test_quality_and_mixing_on_held_out_rows(spark, docs, labels, odd):
