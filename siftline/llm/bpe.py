@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import code_points, pieces, span_hashes, utf8, written
+from .shared import code_points, modest_batches, pieces, span_hashes, utf8, written
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -289,6 +289,7 @@ def _assemble_batches(head, keep: list[str]):
                     raise RowsDiffer("the rows were read in another order; write them to a table first")
                 ids = placed(piece, head.value, pa.concat_arrays(answers) if answers else pa.array([], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), ids], [*keep, "token_ids"])
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             if not batch.num_rows:
@@ -314,6 +315,7 @@ def _assemble_batches(head, keep: list[str]):
 
 def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", head_words: int = HEAD_WORDS) -> DataFrame:
     """The columns ``keep`` of each row, ``token_ids`` and ``n_tokens``."""
+    modest_batches(docs.sparkSession)
     keep = tuple(c for c in keep if c not in ("token_ids", "n_tokens"))
     names = [f"__k{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(text_col).cast("string").alias("text"))
@@ -366,6 +368,7 @@ def decode(encoded: DataFrame, ids_col: str = "token_ids", vocabulary: str = f"{
     place. Null ids and ids that the vocabulary lacks give nothing; a null list gives null; bytes that
     aren't UTF-8 give U+FFFD; a column that is called ``decoded`` gives way to the new one.
     """
+    modest_batches(encoded.sparkSession)
     encoded = encoded.select(*(F.col(f"`{c}`") for c in encoded.columns if c != "decoded"))
     names = encoded.columns
     flat = encoded.toDF(*(f"__k{i}" for i in range(len(names))))

@@ -76,6 +76,13 @@ def small_side(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= rows else small
 
 
+def modest_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lets the session's Arrow batches grow to ``most`` bytes, unless it has a limit of its own (Spark's is 64 MB, for each worker and task)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(key, f"{most}b")
+
+
 # ---------------------------------------------------------------- texts as arrays
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of the batch with about ``most`` bytes of ``column``, one row at least."""
