@@ -1,11 +1,12 @@
 """URL filters: logistic regression on hashed character n-grams of host and path.
 
-Trained from the small labelled table ``LABELLED`` (or one given); a URL whose calibrated probability
+Trained from the small labelled table of ``url_labels`` (or one given); a URL whose calibrated probability
 of being unwanted reaches ``DROP`` is dropped. The scheme, user, port, query and fragment don't count.
 
-Defined cases: null and empty URLs, and those without a host, are kept with a null probability;
-repeated rows each give a row; a table of one class only gives null probabilities; other columns are
-never read.
+Defined cases: null and empty URLs, and those without a host, are kept with a null probability; a URL
+without a scheme has a host if what stands first holds a dot; repeated rows each give a row; a table of one
+class only gives null probabilities and keeps all; an empty table gives none; page ids may be null or of any
+type; other columns are never read.
 """
 
 from __future__ import annotations
@@ -20,57 +21,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashed_lr as lr
+from . import url_labels
 
 DROP = 0.5
 ORDERS = (3, 4, 5)
-BITS = 13
-RIDGE = 0.02
-_HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?P<host>[^/?#:]+)"
-_PATH = r"^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*(?P<path>[^?#]*)"
-
-UNWANTED = """casino-royal.test/slots big-casino.test/win online-casino.test/bonus casino-jackpot.test/play mycasino.test/en
-poker-rooms.test/join poker-win.test/cash bet-now.test/odds freebets.test/sports best-bets.test/football bets-online.test/live
-free-spins.test/slots slots-mania.test/free lucky-slots.test/win win-prize.test/claim win-cash.test/now lottery-win.test/ticket
-cheap-meds.test/order pills-online.test/buy cheap-viagra.test/shop diet-pills.test/lose pillstore.test/generic buy-pills.test/rx
-pharmacy-cheap.test/pills rx-discount.test/viagra cialis-shop.test/order replica-watches.test/rolex fake-bags.test/sale
-cheap-replica.test/buy spam-host.test/mail spamnet.test/blast link-farm.test/links seo-farm.test/backlinks farm-links.test/buy
-content-farm.test/spin spam-links.test/farm xxx-videos.test/hot hot-porn.test/watch adult-cams.test/live sexy-chat.test/girls
-porn-free.test/tube payday-loans.test/apply quick-loans.test/cash loan-fast.test/approve cheap-credit.test/loan
-make-money.test/fast earn-cash.test/home get-rich.test/crypto crypto-double.test/bitcoin free-bitcoin.test/claim
-free-iphone.test/winner free-gift.test/card free-money.test/win cheap-followers.test/buy buy-likes.test/cheap
-warez-crack.test/keygen free-cracks.test/serial torrent-hub.test/crack malware-drop.test/exe phish-login.test/verify
-account-verify.test/login-secure bank-login-update.test/confirm cheap-tickets-win.test/prize spam-farm-net.test/index
-m.casino-slots.example.net/en/412 www.win-casino.example.org/de/88.html bets-free.example.net/fr/731 blog.free-poker.example.com/en/9/
-www.pills-cheap.example.org/es/57 buy-cheap-meds.example.net/en/640 m.link-spam-farm.example.com/en/77 seo-spam.example.net/de/3051
-lucky-casino-win.example.org/en/19/ sports-bets.example.com/en/2204 www.diet-pills.example.net/fr/6.html farm-of-spam.example.org/es/811""".split()
-WANTED = """news-daily.test/world/2021/05 citynews.test/politics example-times.test/article/1234 weather-today.test/forecast
-university.test/physics/lectures college.test/library/catalog school-district.test/calendar science-journal.test/papers/77
-docs.python-guide.test/tutorial docs.database.test/reference wiki-open.test/page/History encyclopedia.test/wiki/River
-museum.test/collections/art gallery-art.test/painting history-archive.test/letters national-library.test/books
-recipes-kitchen.test/soup cooking-home.test/bread garden-plants.test/roses travel-notes.test/spain blog.travel.test/2019
-blog.engineer.test/posts/12 www.research-lab.test/people m.newspaper.test/sports/2020 health-service.test/advice
-hospital.test/patients government.test/services tax-office.test/forms parliament.test/debates court.test/rulings
-code-hosting.test/project/issues open-source.test/download www.mathematics.test/proofs astronomy-club.test/stars
-music-theory.test/chords film-reviews.test/2018 theatre.test/programme bookshop.test/novels poetry-review.test/issue/3
-www.thenation.test/en/125 www.theother.test/de/8 thestory.test/fr/77 blog.there.test/es/12 m.thing.test/en/9 www.ration.test/de/3
-station-trains.test/timetable bus-routes.test/map weather.station.test/data www.nation-states.test/list blog.history.test/en
-open-data.test/sets/4 statistics.test/tables maps-online.test/tiles forum-linux.test/thread/9 questions-answers.test/q/55
-www.interior.test/home m.example-site.test/en/44.html about-us.test/contact company-report.test/annual standards.test/spec
-m.thorn.example.net/en/412 www.thistle.example.org/de/88.html theatres.example.net/fr/731 blog.thing-of-it.example.com/en/9/
-www.other.example.org/es/57 tions-press.example.net/en/640 m.herein.example.com/en/77 therapy.example.net/de/3051
-notion.example.org/en/19/ thousand.example.com/en/2204 www.threads.example.net/fr/6.html thunder.example.org/es/811
-blog.nation.example.com/en/5150 m.thermal.example.com/de/73/ www.thicket.example.com/fr/918 themes.example.com/es/4420.html""".split()
-LABELLED: list[tuple[str, int]] = [(f"https://{u}", 1) for u in UNWANTED] + [(f"https://{u}", 0) for u in WANTED]
+BITS = 14
+RIDGE = 0.1
+#: A path says less of a URL than its host.
+PATH_WEIGHT = 0.3
+ROWS = 128
+#: With or without a scheme; without one, the host must have a dot.
+_HOST = r"^(?:(?:[a-z][a-z0-9+.-]*:)?//)?(?:[^/?#@]*@)?(?P<host>[^/?#:@\s]*\.[^/?#:@\s]+)(?:[:/?#].*)?$"
+_BARE = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?P<host>[^/?#:]+)"
+_PATH = r"^(?:(?:[a-z][a-z0-9+.-]*:)?//)?[^/?#]*(?P<path>[^?#]*)"
+
+LABELLED: list[tuple[str, int]] = url_labels.labelled()
 
 
 def features(hosts: pa.Array, paths: pa.Array) -> np.ndarray:
-    return np.concatenate([lr._unit(lr.char_counts(part, ORDERS, BITS)) for part in (hosts, paths)], 1)
+    return np.concatenate([lr._unit(lr.char_counts(hosts, ORDERS, BITS)), PATH_WEIGHT * lr._unit(lr.char_counts(paths, ORDERS, BITS))], 1, dtype=np.float32)
 
 
 def _split(urls: pa.Array) -> tuple[pa.Array, pa.Array]:
     urls = pc.utf8_lower(pc.fill_null(urls.cast(pa.string()), ""))
     take = lambda expression: pc.fill_null(pc.struct_field(pc.extract_regex(urls, expression), 0), "")
-    return take(_HOST), take(_PATH)
+    hosts = take(_HOST)
+    hosts = pc.if_else(pc.equal(hosts, ""), take(_BARE), hosts)
+    return hosts, pc.if_else(pc.equal(hosts, ""), "", take(_PATH))
 
 
 def train(labelled: list[tuple[str, int]] | None = None) -> lr.Model | None:
@@ -79,7 +56,8 @@ def train(labelled: list[tuple[str, int]] | None = None) -> lr.Model | None:
     y = np.array([c for _, c in rows], int)
     if len(set(y)) < 2:
         return None
-    return lr.fit(features(*_split(pa.array([u for u, _ in rows], pa.string()))), y, 2, RIDGE)
+    hosts, paths = _split(pa.array([u for u, _ in rows], pa.string()))
+    return lr.fit(np.concatenate([features(hosts[i : i + ROWS], paths[i : i + ROWS]) for i in range(0, len(rows), ROWS)]), y, 2, RIDGE)
 
 
 def hash_of(url: str) -> int:
@@ -91,8 +69,8 @@ def _batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 hosts, paths = _split(batch.column("url"))
                 none = pc.equal(pc.binary_length(hosts), 0).to_numpy(zero_copy_only=False) | (model is None)
                 p = np.zeros(batch.num_rows) if model is None else lr.probabilities(model, features(hosts, paths))[:, 0]
