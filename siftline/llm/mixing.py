@@ -8,9 +8,10 @@ targets, in the least-squares sense where they can't be met (the residual weight
 domains' second-moment matrix), and among those the nearest to one in the metric of the documents' tokens.
 
 Such a rate is 1 minus the product of the posteriors with one multiplier per domain, clipped. The
-multipliers solve a convex dual problem (``PULL`` weighs the distance from one against the residual), by
-Newton steps to convergence; a step needs one pass for sums over all documents, of one number per domain
-and per pair of domains for each step length tried. A fit that doesn't converge within ``MOST_PASSES``
+multipliers solve a convex dual problem, in which the distance from one weighs ``PULLS`` against the
+residual: the problem is solved by Newton steps for the first of these weights, from there for the next, and
+the last one's solution counts. A step needs one or two passes for sums over all documents, of one number
+per domain and per pair of domains for each step length tried. A fit that doesn't converge within ``MOST_PASSES``
 raises an error; ``Plan.expected`` has what the rates give, to be held against ``Plan.targets``.
 
 Targets: the weights, scaled so that the domain which is scarcest against its weight keeps what it has
@@ -41,10 +42,10 @@ DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.9, "poor": 0.05, "toxic": 0.05}
 MOST_ROWS = 1500
 RIDGE = 0.002
-PULL = 1e-8
+PULLS = 10.0 ** -np.arange(1, 9)
 NEAR = 1e-6
 MOST_PASSES = 100
-LENGTHS = np.concatenate([[1.0, 0.9, 0.8, 0.7, 0.6], 0.5 ** np.arange(1, 20)])
+LENGTHS = np.concatenate([[1.0], np.geomspace(0.9, 1e-6, 23)])
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -157,21 +158,33 @@ def fit_rates(table: DataFrame, classifier: Classifier, weights: dict[str, float
     inverse = np.linalg.pinv(second / have.sum(), rcond=1e-9) / have.sum()
     aim = second @ inverse @ targets  # the part that any rates could change
     near = NEAR * max(targets.sum(), have.sum() * NEAR)
-    at, span = np.zeros(n), second @ inverse
-    tokens, inner = parts(_moments_of(table, np.zeros((1, n)), most_rate)[0])
-    for _ in range(MOST_PASSES):
-        slope = PULL * second @ at + aim - span @ tokens
-        if np.abs(slope).max() <= near:
-            break
-        step = -span.T @ np.linalg.pinv((inner + PULL * second) / have.sum(), rcond=1e-15, hermitian=True) @ slope / have.sum()
-        tries = at + LENGTHS[:, None] * step
-        sums = _moments_of(table, tries, most_rate)
-        # the slope along the step grows with its length: the longest that isn't beyond the least value
-        along = [(PULL * second @ m + aim - span @ parts(s)[0]) @ step for m, s in zip(tries, sums)]
-        k = next((k for k in range(len(LENGTHS)) if along[k] <= near * np.abs(step).max()), len(LENGTHS) - 1)
-        at, (tokens, inner) = tries[k], parts(sums[k])
-    else:
-        raise ArithmeticError(f"the rates' fit hasn't converged in {MOST_PASSES} passes: slope {slope.tolist()} tokens, {near} allowed")
+    span, passes = second @ inverse, 0
+
+    def sums_at(tries: np.ndarray) -> np.ndarray:
+        nonlocal passes
+        if (passes := passes + 1) > MOST_PASSES:
+            raise ArithmeticError(f"the rates' fit hasn't converged in {MOST_PASSES} passes: slope {slope.tolist()} tokens, {near} allowed")
+        return _moments_of(table, tries, most_rate)
+
+    at = slope = np.zeros(n)
+    tokens, inner = parts(sums_at(at[None])[0])
+    for pull in PULLS:
+        while True:
+            slope = pull * second @ at + aim - span @ tokens
+            if np.abs(slope).max() <= near:
+                break
+            step = -span.T @ np.linalg.pinv((inner + pull * second) / have.sum(), rcond=1e-15, hermitian=True) @ slope / have.sum()
+            # the slope along the step grows with its length: the longest that isn't beyond the least value, in two passes
+            lengths = LENGTHS
+            for _ in range(2):
+                tries = at + lengths[:, None] * step
+                sums = sums_at(tries)
+                along = [(pull * second @ m + aim - span @ parts(s)[0]) @ step for m, s in zip(tries, sums)]
+                k = next((k for k in range(len(lengths)) if along[k] <= 0), len(lengths) - 1)
+                if k == 0:
+                    break
+                lengths = np.linspace(lengths[k - 1], lengths[k], len(LENGTHS))
+            at, (tokens, inner) = tries[k], parts(sums[k])
     return Plan([at.tolist()], most_rate, (have / have.sum()).tolist(), have.tolist(), targets.tolist(), tokens.tolist())
 
 
