@@ -75,6 +75,14 @@ def text_features(texts: pa.Array, pairs: bool = False) -> tuple[np.ndarray, np.
     return np.concatenate([*groups, _unit(char_counts(texts, ORDERS, CHAR_BITS))], 1), by_word.sum(1).astype(np.int64)
 
 
+def features_of(texts: list[str], pairs: bool = False) -> np.ndarray:
+    """(texts, features) of a training sample, in one array that is filled part by part."""
+    out = np.zeros((len(texts), ((2 if pairs else 1) << WORD_BITS) + (1 << CHAR_BITS)), np.float32)
+    for at in range(0, len(texts), ROWS // 4):
+        out[at : at + ROWS // 4] = text_features(pa.array(texts[at : at + ROWS // 4], pa.string()), pairs)[0]
+    return out
+
+
 def _newton(gram: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     """Dual coefficients: the weights are the training rows' sum by these."""
     a, n = np.zeros(len(y)), len(y)
@@ -125,7 +133,7 @@ def fit(x: np.ndarray, y: np.ndarray, classes: int, ridge: float = RIDGE) -> Mod
         slopes.append(slope)
         shifts.append(shift)
     dual = np.stack(duals, 1)
-    return Model((x.T @ dual).astype(np.float32), dual.sum(0), np.array(slopes), np.array(shifts))
+    return Model(x.T @ dual.astype(x.dtype), dual.sum(0), np.array(slopes), np.array(shifts))
 
 
 def probabilities(model: Model, x: np.ndarray) -> np.ndarray:

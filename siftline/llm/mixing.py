@@ -65,7 +65,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Classifi
     present = np.isin(np.arange(len(DOMAINS)), y)
     if present.sum() < 2:
         return Classifier(None, present)
-    x = np.concatenate([lr.text_features(pa.array([r["text"] for r in rows[i : i + lr.ROWS]], pa.string()))[0] for i in range(0, len(rows), lr.ROWS)])
+    x = lr.features_of([r["text"] for r in rows])
     return Classifier(lr.fit(x, y, len(DOMAINS), RIDGE), present)
 
 

@@ -29,7 +29,7 @@ ACCEPT = 0.5
 
 
 def features(texts: list[str]) -> np.ndarray:
-    return np.concatenate([lr.text_features(pa.array(texts[i : i + lr.ROWS], pa.string()), pairs=True)[0] for i in range(0, len(texts), lr.ROWS)])
+    return lr.features_of(texts, pairs=True)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, label_col: str = "quality") -> lr.Model | None:
