@@ -6,8 +6,10 @@ Expressions are written with two abbreviations: a blank stands for white space o
 
 from __future__ import annotations
 
+import re._constants as K
+import re._parser as parser
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +19,101 @@ def expand(short: str) -> str:
     return short.replace(" ", r"\s+").replace("~", r"\b").replace("␣", " ")
 
 
+# ---------------------------------------------------------------- literals that an expression needs
+MOST_LITERALS = 64
+
+
+def _exact(tree) -> set[str] | None:
+    """All texts that a parsed expression matches, if they are few literals."""
+    out = {""}
+    for op, value in tree:
+        if op is K.LITERAL:
+            more: set[str] | None = {chr(value).lower()}
+        elif op is K.SUBPATTERN:
+            more = _exact(value[3])
+        elif op is K.BRANCH:
+            parts = [_exact(b) for b in value[1]]
+            more = set().union(*parts) if all(p is not None for p in parts) else None
+        elif op is K.MAX_REPEAT and value[:2] == (0, 1):
+            more = _exact(value[2])
+            more = more | {""} if more is not None else None
+        elif op is K.AT:
+            more = {""}
+        else:
+            return None
+        if more is None or len(out) * len(more) > MOST_LITERALS:
+            return None
+        out = {a + b for a in out for b in more}
+    return out
+
+
+def _least(words: set[str]) -> set[str]:
+    """Without words that hold another one."""
+    return {w for w in words if not any(o != w and o in w for o in words)}
+
+
+def _needed(tree) -> list[set[str]]:
+    """Sets of words; each match holds at least one word of every set."""
+    out, run = [], {""}
+
+    def offer(words: set[str]) -> None:
+        if words and "" not in words and len(words := _least(words)) <= MOST_LITERALS:
+            out.append(words)
+
+    for op, value in tree:
+        exact = _exact([(op, value)])
+        if exact is not None and len(run) * len(exact) <= MOST_LITERALS:
+            run = {a + b for a in run for b in exact}
+            continue
+        offer(run)
+        run = exact if exact is not None else {""}
+        if exact is not None:
+            continue
+        if op is K.SUBPATTERN:
+            out += _needed(value[3])
+        elif op is K.BRANCH:
+            parts = [_needed(branch) for branch in value[1]]
+            if all(parts):
+                offer(set().union(*(max(p, key=_worth) for p in parts)))
+        elif op in (K.MAX_REPEAT, K.MIN_REPEAT) and value[0] >= 1:
+            out += _needed(value[2])
+    offer(run)
+    return out
+
+
+def _worth(words: set[str]) -> tuple:
+    shortest = min(len(w) for w in words)
+    return shortest >= 3, -len(words), shortest
+
+
+@cache
+def needed(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """Sets of words in lower case: every match of the expression holds at least one word of each set."""
+    found = sorted({tuple(sorted(w)) for w in _needed(parser.parse(pattern))}, key=lambda w: _worth(set(w)), reverse=True)
+    return tuple([w for w in found if min(map(len, w)) >= 3][:3] or found[:1])
+
+
+def folded(c: Column) -> Column:
+    """What ``Rx.within`` looks for words in: two texts alike but for case, as expressions see it, fold alike."""
+    return F.lower(F.upper(c))
+
+
+def literals(words: tuple[str, ...]) -> Column:
+    """A constant array of words; one literal, whatever their number."""
+    return F.split(F.lit("\x1f".join(words)), "\x1f")
+
+
+def has_any(c: Column, words: tuple[str, ...]) -> Column:
+    if len(words) > 3:
+        return F.exists(literals(words), lambda w: F.contains(c, w))
+    return reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for w in words))
+
+
+def holds(c: Column, sets: tuple[tuple[str, ...], ...]) -> Column:
+    """Whether a text holds a word of each set; true without sets."""
+    return reduce(lambda a, b: a & b, (has_any(c, words) for words in sets), F.lit(True))
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -66,7 +163,7 @@ class Has(Condition):
         self.words = words
 
     def column(self, c: Column) -> Column:
-        return reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for w in self.words))
+        return has_any(c, self.words)
 
     def sql(self, name: str) -> str:
         return "(" + " or ".join(f"contains({name}, {quoted(w)})" for w in self.words) + ")"
@@ -95,7 +192,14 @@ class Rx(Condition):
         return f"(?U{self.flags}{'d' if 'm' in self.flags else ''})" + self.pattern
 
     def column(self, c: Column) -> Column:
-        return c.rlike(self.java())
+        return self.within(c, c)
+
+    def within(self, c: Column, fold: Column) -> Column:
+        """As ``column``, but the expression is only tried where ``fold`` (``folded(c)``, or ``c`` itself where case counts) holds a word that it needs."""
+        words = needed(self.pattern)
+        if fold is c and "i" in self.flags or not words:
+            return c.rlike(self.java())
+        return holds(fold, words) & c.rlike(self.java())
 
     def sql(self, name: str) -> str:
         return f"regexp_matches({name}, {quoted((f'(?{self.flags})' if self.flags else '') + self.pattern)})"

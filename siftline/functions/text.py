@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from functools import reduce
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .conditions import Condition, Has, Rx, case, let
+from .conditions import Condition, Has, Rx, case, holds, let, needed, once
+from .patterns import CANARY
 
 ZERO_WIDTH = r"[\u200B-\u200D\uFEFF]"
 BIDI = r"[\u202A-\u202E\u2066-\u2069]"
@@ -34,23 +36,43 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unquote(html.unescape(t)))
 
 
+#: Characters that composition leaves alone, whatever stands beside them: ASCII, precomposed letters, common punctuation, syllables, ideographs.
+STABLE = r"\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff\u2012-\u2016\u2018-\u201f\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+#: White space as Unicode has it, and the four separators that Python counts as such.
+_SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_OTHER_SPACE = _SPACE.replace(r"\x1c-\x20", r"\x1c-\x1f")
+
+
 def composed(c: Column) -> Column:
-    """NFKC; pure ASCII stays in the JVM."""
-    ascii_only = c.rlike(r"\A[\x00-\x7f]*\z")
-    return F.when(ascii_only, c).otherwise(_compose(F.when(~ascii_only, c)))
+    """NFKC; texts of characters that it leaves alone stay in the JVM."""
+    same = c.rlike(rf"\A(?:[\x00-\x7f]++|[{STABLE}])*+\z")
+    return F.when(same, c).otherwise(_compose(F.when(~same, c)))
 
 
-def normalize(c: Column) -> Column:
-    """struct(normalized, zero_width_found, bidi_found): compose, drop invisible characters, decode entities and escapes, collapse white space."""
-    first = composed(c)
-    shown = F.regexp_replace(F.regexp_replace(first, ZERO_WIDTH, ""), BIDI, "")
-    special = F.contains(shown, F.lit("&")) | F.contains(shown, F.lit("%"))
-    plain = F.when(special, _unescape(F.when(special, shown))).otherwise(shown)
-    return F.struct(
-        F.regexp_replace(F.regexp_replace(plain, BLANKS, " "), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "").alias("normalized"),
-        first.rlike(ZERO_WIDTH).alias("zero_width_found"),
-        first.rlike(BIDI).alias("bidi_found"),
-    )
+def collapsed(c: Column) -> Column:
+    """Each run of white space as one blank, none at the margins; a single blank is left as it is."""
+    return F.trim(F.regexp_replace(c, rf" *+[{_OTHER_SPACE}][{_SPACE}]*+|  [{_SPACE}]*+", " "))
+
+
+def shown(first: Column) -> Column:
+    """struct(text, zero_width_found, bidi_found): a composed text without invisible characters."""
+    hidden = first.rlike(rf"{ZERO_WIDTH[:-1]}{BIDI[1:]}")
+    bare = F.regexp_replace(F.regexp_replace(first, ZERO_WIDTH, ""), BIDI, "")
+    found = F.struct(bare.alias("text"), first.rlike(ZERO_WIDTH).alias("zero_width_found"), first.rlike(BIDI).alias("bidi_found"))
+    return F.when(hidden, found).otherwise(F.struct(first.alias("text"), F.lit(False).alias("zero_width_found"), F.lit(False).alias("bidi_found")))
+
+
+def plain(seen: Column) -> Column:
+    """Entities and percent escapes decoded; texts without either stay in the JVM."""
+    special = F.contains(seen, F.lit("&")) | F.contains(seen, F.lit("%"))
+    return F.when(special, _unescape(F.when(special, seen))).otherwise(seen)
+
+
+def normalize(rows: DataFrame, text_col: str, into: str) -> DataFrame:
+    """Adds ``into``, a struct(normalized, zero_width_found, bidi_found) of a text: composed, without invisible characters, entities and escapes decoded, white space collapsed. Each step is done once."""
+    d = rows.withColumn("__c", once(composed(F.col(text_col)))).withColumn("__s", once(shown(F.col("__c")))).withColumn("__p", once(plain(F.col("__s.text"))))
+    got = F.struct(collapsed(F.col("__p")).alias("normalized"), F.col("__s.zero_width_found").alias("zero_width_found"), F.col("__s.bidi_found").alias("bidi_found"))
+    return d.withColumn(into, once(got)).drop("__c", "__s", "__p")
 
 
 # ---------------------------------------------------------------- bounded decoding
@@ -65,6 +87,9 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TURNED = _UPPER[13:] + _UPPER[:13]
 
 
+_TURN = str.maketrans(_UPPER + _UPPER.lower(), _TURNED + _TURNED.lower())
+
+
 def rot13(c: Column) -> Column:
     return F.translate(c, _UPPER + _UPPER.lower(), _TURNED + _TURNED.lower())
 
@@ -86,14 +111,16 @@ def derive_candidates(c: Column) -> Column:
     base64 = _decoded(c, "[A-Za-z0-9+/]{16,}={0,2}", lambda x: (F.length(x) % 4 == 0), lambda x: F.try_to_binary(x, F.lit("base64")), "base64", 0.8)
     hexes = _decoded(c, "[0-9a-fA-F]{24,}", lambda x: F.length(x) % 2 == 0, lambda x: F.unhex(x), "hex", 0.75)
     turned, backward = rot13(c), F.reverse(c)
-    single = lambda kind, t, extra: F.when(extra & let(F.lower(t), _TELLTALE.column), derived(kind, 0.5, t))
-    both = F.array_compact(F.array(single("rot13", turned, turned != c), single("reversed", backward, F.lit(True))))
+    # the telltale words in the text as it is, turned or backward; what lower case does to a dotted capital I is left to the exact test
+    hint = lambda words: holds(F.lower(c), (words,)) | F.contains(c, F.lit("\u0130"))
+    single = lambda kind, words, t, extra: F.when(hint(words) & extra & let(F.lower(t), _TELLTALE.column), derived(kind, 0.5, t))
+    words = _TELLTALE.words
+    both = F.array_compact(F.array(single("rot13", tuple(w.translate(_TURN) for w in words), turned, turned != c), single("reversed", tuple(w[::-1] for w in words), backward, F.lit(True))))
     none = F.slice(both, 1, 0)
     return F.when(F.octet_length(c) > 100_000, none).otherwise(F.slice(F.concat(base64, hexes, both), 1, 20))
 
 
 # ---------------------------------------------------------------- context and intent
-CANARY = "ar[g]us"
 _ORDERS = "(?:call tool|execute|ignore|override|run command|system prompt)".replace(" ", "␣")
 ACTIVE = Rx(
     "~(?:ignore (?:all )?(?:above|previous|prior) instructions?|override (?:the )?(?:developer|system)|disregard (?:all )?(?:above|previous|prior) (?:context|instructions?)"
@@ -114,7 +141,8 @@ def context(c: Column) -> Column:
 
 
 def _context(low: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(low, "(?U)" + ADDRESS, ""), "(?U)" + DOMAIN, "")
+    without = lambda t, x: F.when(holds(t, needed(x)), F.regexp_replace(t, "(?U)" + x, "")).otherwise(t)
+    bare = F.when(DISCUSSION.column(low), let(without(low, ADDRESS), lambda t: without(t, DOMAIN))).otherwise(low)  # what is cut out can't bring words about but where it joins two parts
     return F.coalesce(case(CONTEXTS, None, low), let(bare, lambda b: F.when(DISCUSSION.column(b), "discussed").otherwise("active")))
 
 
@@ -125,8 +153,7 @@ OVERRIDE = Rx(
     "~(?:ignore (?:all|previous|prior) instructions?|disregard (?:all|previous|prior) (?:context|instructions?)|override (?:developer|system)|do not mention~"
     r"|instead\s*(?:,\s*)?(?:mention|output|print|report|reveal|say)|forget (?:all|previous|prior)|disregard|reset (?:your )?instructions?)~"
 )
-_MARK = "".join(("ar", "gus"))
-EXFILTRATION_WORDS = Has("exfiltrate", "post to", "send", "upload", f"{_MARK}-canary", f"{_MARK}_canary")
+EXFILTRATION_WORDS = Has("exfiltrate", "post to", "send", "upload", f"{CANARY}-canary", f"{CANARY}_canary")
 REQUESTS: list[tuple[Condition, str]] = [(TOOL_CALL, "tool_call"), (EXFILTRATION_WORDS, "data_exfiltration")]
 SECRECY = Has("do not tell", "secretly", "without telling")
 EXFILTRATES = Has("exfiltrate", "send to", "upload")
@@ -173,13 +200,19 @@ def safe_excerpt(c: Column, most: int = 80) -> Column:
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t)
 
 
-@F.pandas_udf(StringType())
-def sanitize_log(texts: pd.Series) -> pd.Series:
+_ODD = [*range(0x20), *range(0x7F, 0xA0), *range(0x202A, 0x202F), *range(0x2066, 0x206A)]
+
+
+def sanitize_log(c: Column) -> Column:
     """Control and direction characters as escapes; at most 256 characters."""
-    import re
+    cut = F.substring(c, 1, 256)  # escapes are longer than what they stand for
+    out = reduce(lambda t, code: F.replace(t, F.lit(chr(code)), F.lit(f"\\u{code:04x}")), _ODD, cut)
+    return F.when(cut.rlike("[\\x00-\\x1f\\x7f-\\x9f\\u202a-\\u202e\\u2066-\\u2069]"), F.substring(out, 1, 256)).otherwise(cut)
+
 
-    odd = re.compile("[\x00-\x1f\x7f-\x9f‪-‮⁦-⁩]")
-    return texts.map(lambda t: None if t is None else odd.sub(lambda m: f"\\u{ord(m[0]):04x}", t)[:256])
+def json_log(**fields: Column) -> Column:
+    """One line of JSON, its keys sorted, its values fit for a log; nulls are kept."""
+    return F.to_json(F.struct(*(sanitize_log(fields[k].cast("string")).alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
 
 
 def add_hash_prefix(c: Column) -> Column:

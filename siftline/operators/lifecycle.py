@@ -6,8 +6,6 @@ repeated gives the same. Tables written to disk are replaced by ``sinks.replace_
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +59,7 @@ def preflight(files: DataFrame, incoming: int, most: int = MOST_BYTES) -> bool:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Both tables' rows, the last by ``order`` of each key; of equals the new one."""
+    """Both tables' rows; of each key a new row if there is one, else an old one, and of several the last by ``order``."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
     return both.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("__new"), F.desc(order)))).where("__n = 1").drop("__n", "__new")
 
@@ -94,6 +92,3 @@ def maintenance(tables: dict[str, DataFrame], files: DataFrame, now: Column) ->
     t["orphaned_artifacts"] = orphans(files, t["artifacts"], now)
     return t
 
-
-def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -234,9 +234,13 @@ def override(decisions: DataFrame, executions: DataFrame, findings: DataFrame, m
 
 
 def early_decision(scans: DataFrame) -> DataFrame:
-    """Decisions of scans (scan_id, intake_rejected, over_budget) that end before any detector: quarantined, or unsupported."""
+    """Decisions of scans (scan_id, intake_rejected, over_budget, reason) that end before any detector: quarantined, or unsupported. ``found`` has their findings and executions."""
     d = scans.where("intake_rejected or over_budget").crossJoin(F.broadcast(scans.sparkSession.createDataFrame([(p,) for p in PROFILES], "profile string")))
-    return d.select("scan_id", "profile", F.when(F.col("intake_rejected"), "QUARANTINE").otherwise("UNSUPPORTED").alias("action"), F.when(F.col("intake_rejected"), 10000).otherwise(20000).alias("winning_rule_priority"))
+    pick = lambda a, b: F.when(F.col("intake_rejected"), a).otherwise(b)
+    rule, code = pick("quarantine-intake-rejected", "resource-budget"), pick("INTAKE_REJECTED", "RESOURCE_LIMIT_EXCEEDED")
+    return d.select(
+        "scan_id", "profile", pick("QUARANTINE", "UNSUPPORTED").alias("action"), F.lit(False).alias("safe_claim"), F.array(code).alias("reason_codes"), F.array(rule).alias("triggered_policy_rules"), rule.alias("winning_rule_id"), pick(10000, 20000).alias("winning_rule_priority"), F.col("reason").alias("explanation"),
+    )
 
 
 # ---------------------------------------------------------------- release

@@ -44,10 +44,15 @@ def probes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(P.PROBES)), "n long, text string")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scan, ord, text) of all sources."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("scan"), F.lit(0).cast("long").alias("ord"), "text")
+    talks = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("scan"), F.col("turn").cast("long").alias("ord"), "text")
+    return docs.unionByName(talks).unionByName(probes(spark).select(F.concat(F.lit("p"), "n").alias("scan"), F.lit(0).cast("long").alias("ord"), "text"))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = D.observe(table(spark, sf_dir, "documents"), F.concat(F.lit("d"), "doc_id"), F.lit(0), F.col("text"))
-    talks = D.observe(table(spark, sf_dir, "conversations"), F.concat(F.lit("c"), "conv_id"), F.col("turn"), F.col("text"))
-    return docs.unionByName(talks).unionByName(D.observe(probes(spark), F.concat(F.lit("p"), "n"), F.lit(0), F.col("text")))
+    return D.observe(texts(spark, sf_dir), F.col("scan"), F.col("ord"), F.col("text"))
 
 
 _PROBES_SQL = "(values " + ", ".join(f"({i}, {quoted(t)})" for i, t in enumerate(P.PROBES)) + ") as probes(n, text)"
@@ -92,9 +97,9 @@ def privacy_findings(spark, sf_dir):
 
 @query(f"{_PRIVACY}, hit as (select distinct scan_id from found) select case when hit.scan_id is not null then 'REVIEW' else 'ALLOW_RECONSTRUCTED_ONLY' end as action, count(*) as n from (select distinct scan_id from obs) s left join hit using (scan_id) group by 1")
 def privacy_action_counts(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    got = evidence.deduplicate(D.privacy(obs))
-    return policy.decide(obs.select("scan_id").distinct(), got, ["RAG_INGESTION"]).groupBy("action").agg(F.count("*").alias("n"))
+    got = evidence.deduplicate(D.privacy(observations(spark, sf_dir)))
+    seen = texts(spark, sf_dir).where("text is not null and scan is not null").select(F.col("scan").alias("scan_id")).distinct()
+    return policy.decide(seen, got, ["RAG_INGESTION"]).groupBy("action").agg(F.count("*").alias("n"))
 
 
 @query(f"{_PRIVACY} select scan_id, count(*) as n_cards, count(distinct shown) as n_distinct from found where type = 'payment_card_like_number' group by 1")
@@ -128,9 +133,9 @@ def _context_sql(low: str = "low") -> str:
     return f"coalesce({case_sql(T.CONTEXTS, None, low)}, case when {T.DISCUSSION.sql(bare)} then 'discussed' else 'active' end)"
 
 
-@query(f"{_with} select context, count(*) as n, min(scan_id) as first_scan from (select scan_id, {_context_sql()} as context from obs) group by 1")
+@query(f"{_with} select scan_id, ord, {_context_sql()} as context from obs")
 def text_context(spark, sf_dir):
-    return observations(spark, sf_dir).select("scan_id", T.context(F.col("normalized_text")).alias("context")).groupBy("context").agg(F.count("*").alias("n"), F.min("scan_id").alias("first_scan"))
+    return observations(spark, sf_dir).select("scan_id", "ord", T.context(F.col("normalized_text")).alias("context"))
 
 
 @query(
@@ -150,10 +155,6 @@ def prompt_rule_matches(spark, sf_dir):
     return d.select("scan_id", "ord", F.array_join(F.transform("r", D._of_rule(0)), "|").alias("rules"))
 
 
-@query()
-def prompt_rule_findings(spark, sf_dir):
-    d = D.prompt_rules(observations(spark, sf_dir))
-    return d.select("scan_id", "finding_id", "type", "state", "severity", "attack_likelihood", "recommended_action", F.array_join("reason_codes", "|").alias("reason_codes"), "text_sha256", "text_length")
 
 
 # ---------------------------------------------------------------- derived texts and evidence
@@ -164,18 +165,57 @@ def _telltale(x: str) -> str:
     return T._TELLTALE.sql(f"lower({x})")
 
 
-@query(f"{_with} select scan_id, ord, {_ROT} as turned, case when {_ROT} <> t and {_telltale(_ROT)} then true else false end as kept from obs where strlen(t) <= 100000")
+@query(f"{_with} select scan_id, ord, {_ROT} as turned, strlen(t) <= 100000 and {_ROT} <> t and {_telltale(_ROT)} as kept from obs")
 def derived_rot13(spark, sf_dir):
+    """Every text turned; ``kept`` says whether it is a candidate, which texts over 100 000 bytes never are."""
     t = F.col("normalized_text")
-    return observations(spark, sf_dir).where(F.octet_length(t) <= 100_000).select("scan_id", "ord", T.rot13(t).alias("turned"), ((T.rot13(t) != t) & T._TELLTALE.column(F.lower(T.rot13(t)))).alias("kept"))
+    return observations(spark, sf_dir).select("scan_id", "ord", T.rot13(t).alias("turned"), ((F.octet_length(t) <= 100_000) & (T.rot13(t) != t) & T._TELLTALE.column(F.lower(T.rot13(t)))).alias("kept"))
 
 
-@query()
+def _printable(x: str) -> str:
+    return f"(case when length({x}) > 0 then length(regexp_replace({x}, '[^\\x09-\\x0d\\x20-\\x7e]', '', 'g')) / length({x}) else 0.0 end)"
+
+
+def _decoded_sql(pattern: str, guard: str, decode: str, kind: str, confidence: float) -> str:
+    found = f"list_filter(list_transform(list_filter(regexp_extract_all(t, '{pattern}')[1:5], lambda x: {guard}), lambda x: {decode}), lambda y: y is not null and {_printable('y')} >= 0.8)"
+    return f"list_transform({found}, lambda y: {{'kind': '{kind}', 'confidence': {confidence}::double, 'text': y}})"
+
+
+_SINGLE = "case when {0} <> t and {1} then [{{'kind': '{2}', 'confidence': 0.5::double, 'text': {0}}}] else [] end"
+_CANDIDATES = f"""cand as (select scan_id, ord, case when strlen(t) > 100000 then [] else list_concat(
+    {_decoded_sql('[A-Za-z0-9+/]{16,}={0,2}', 'length(x) % 4 = 0', 'try(decode(from_base64(x)))', 'base64', 0.8)},
+    {_decoded_sql('[0-9a-fA-F]{24,}', 'length(x) % 2 = 0', 'try(decode(unhex(x)))', 'hex', 0.75)},
+    {_SINGLE.format(_ROT, _telltale(_ROT), 'rot13')}, case when {_telltale('reverse(t)')} then [{{'kind': 'reversed', 'confidence': 0.5::double, 'text': reverse(t)}}] else [] end)[1:20] end as cs from obs)"""
+_PLACED = "placed as (select scan_id, ord, i as place, cs[i + 1] as c from (select scan_id, ord, cs, unnest(range(len(cs))) as i from cand))"
+
+
+@query(f"{_with}, {_CANDIDATES}, {_PLACED} select scan_id, ord, place, c.kind as transformation, c.confidence as confidence, strlen(c.text) as decoded_bytes, round({_printable('c.text')}, 6) as printable_ratio, c.text as text from placed")
 def derived_texts(spark, sf_dir):
     d = observations(spark, sf_dir).select("scan_id", "ord", F.posexplode(T.derive_candidates(F.col("normalized_text"))).alias("place", "c"))
     return d.select("scan_id", "ord", "place", F.col("c.transformation").alias("transformation"), F.col("c.confidence").alias("confidence"), F.col("c.decoded_bytes").alias("decoded_bytes"), F.round("c.printable_ratio", 6).alias("printable_ratio"), F.col("c.text").alias("text"))
 
 
+def _rule_findings_sql() -> str:
+    pick = lambda i: "[" + ", ".join(quoted(p[i]) for p in P.PROMPT_RULES) + "]"
+    rules = _RULES.replace("regexp_matches(t,", "regexp_matches(text,")
+    return f"""{_CANDIDATES}, {_PLACED}, texts_of as (select scan_id, ord, -1 as place, t as text from obs union all select scan_id, ord, place, c.text from placed),
+        matched as (select scan_id, ord, place, text, lower(text) as l, {rules} as r from texts_of), best as (select scan_id, ord, min(place) as place from matched where len(r) > 0 group by 1, 2),
+        hit as (select m.*, {_context_sql('l')} = 'active' as active, {case_sql(T.REQUESTS, None, 'l')} as request, list_distinct(list_transform(r, lambda i: {pick(1)}[i + 1])) as cats, list_bool_or(list_transform(r, lambda i: {pick(2)}[i + 1] = 'critical')) as critical,
+            ({T.CREDENTIALS.sql('l')} and {T.EXTRACTION.sql('l')}) as asks from matched m join best using (scan_id, ord, place)),
+        coded as (select *, asks or list_contains(cats, 'credential_request') as credential, list_concat(list_sort(list_distinct(list_concat(['PROMPT_INJECTION'], list_transform(cats, lambda c: upper(c))))), case when request = 'tool_call' then ['TOOL_INVOCATION_REQUEST'] else [] end) as codes from hit),
+        ruled as (select scan_id, ord, printf('finding:%s:prompt:%03d', scan_id, row_number() over (partition by scan_id order by ord) - 1) as finding_id, {pick(1)}[r[1] + 1] as type, case when active then 'CONFIRMED' else 'POSSIBLE' end as state, case when active and critical then 'critical' else {pick(2)}[r[1] + 1] end as severity,
+            case when active then 0.95 else 0.35 end::double as attack_likelihood, case when active then 'BLOCK' else 'REVIEW' end as recommended_action, array_to_string(case when credential then list_sort(list_distinct(list_concat(codes, ['CREDENTIAL_REQUEST']))) else codes end, '|') as reason_codes, 'sha256:' || sha256(text) as text_sha256, strlen(text) as text_length from coded)"""
+
+
+_RULE_FINDINGS = f"{_with}, {_rule_findings_sql()}"
+
+
+@query(f"{_RULE_FINDINGS} select * exclude (ord) from ruled")
+def prompt_rule_findings(spark, sf_dir):
+    d = D.prompt_rules(observations(spark, sf_dir))
+    return d.select("scan_id", "finding_id", "type", "state", "severity", "attack_likelihood", "recommended_action", F.array_join("reason_codes", "|").alias("reason_codes"), "text_sha256", "text_length")
+
+
 @query(f"{_with} select scan_id, ord, 'sha256:' || sha256(t) as text_sha256, strlen(t) as text_length from obs")
 def text_evidence(spark, sf_dir):
     return observations(spark, sf_dir).select("scan_id", "ord", T.text_evidence(F.col("normalized_text")).alias("e")).select("scan_id", "ord", "e.*")
@@ -202,8 +242,7 @@ def normalized_texts(spark, sf_dir):
 @query()
 def normalized_pages(spark, sf_dir):
     """Pages have entities and escapes, which SQL can't undo."""
-    n = T.normalize(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", n.alias("n")).select("page_id", "n.*")
+    return T.normalize(D.spread(table(spark, sf_dir, "pages")), "html", "n").select("page_id", "n.*")
 
 
 # ---------------------------------------------------------------- semantic scorer
@@ -229,29 +268,80 @@ def semantic_bigram(spark, sf_dir):
     return d.select("scan_id", "ord", D.pair_score(F.col("ts")).alias("score"))
 
 
+def _looking_ahead_sql(short: str) -> str:
+    """The look-ahead expression for texts of one line: each alternative that forbids words is a match without, and none with them."""
+    from ..functions.conditions import expand
+
+    def parts(text: str) -> list[str]:
+        out, depth, last = [], 0, ""
+        for c in text:
+            depth += (c == "(") - (c == ")")
+            out, last = ([*out, last], "") if c == "|" and not depth else (out, last + c)
+        return [*out, last]
+
+    tests, plain = [], []
+    for alternative in parts(short.removeprefix("^(?:").removesuffix(")")):
+        if "(?!" not in alternative:
+            plain.append(alternative)
+            continue
+        # "(?:of NOT|that can be)x": two alternatives
+        head, rest = alternative.split("(?!", 1)
+        words, tail = rest.split(")~)", 1)
+        words = words.removeprefix("(?:")
+        if head.endswith("(?:of "):
+            other, tail = tail.split(")", 1)
+            plain.append(head.removesuffix("(?:of ") + other.removeprefix("|") + tail)
+            head = head.removesuffix("(?:of ") + "of "
+        # an optional article before the forbidden words may be skipped
+        heads = [head]
+        for article in ("(?:the |a )?", "(?:the )?"):
+            if head.endswith(article):
+                heads = [head.removesuffix(article), head.removesuffix("?")]
+        m = lambda x: f"regexp_matches(t, {quoted('(?im)^(?:' + expand(x) + ')')})"
+        tests += [f"({m(h + tail)} and not {m(h + '(?:' + words + ')~')})" for h in heads]
+    tests.append(f"regexp_matches(t, {quoted('(?im)^(?:' + expand('|'.join(plain)) + ')')})")
+    return "(" + " or ".join(tests) + ")"
+
+
 def _structure_sql() -> str:
-    hits = [f"case when {Rx(x, 'i' + f).sql('t')} then {{'score': {s:.2f}::double, 'place': {-i}, 'label': {quoted(label)}}} end" for i, (s, label, x, f, _) in enumerate(P.STRUCTURES) if i not in P.LOOKING_AHEAD]
+    test = lambda i, x, f: _looking_ahead_sql(x) if i in P.LOOKING_AHEAD else Rx(x, "i" + f).sql("t")
+    hits = [f"case when {test(i, x, f)} then {{'score': {s:.2f}::double, 'place': {-i}, 'label': {quoted(label)}}} end" for i, (s, label, x, f, _) in enumerate(P.STRUCTURES)]
     return "list_max(list_filter([" + ", ".join(hits) + "], lambda x: x is not null))"
 
 
 @query(f"{_with} select scan_id, ord, s.score as score, s.label as label from (select scan_id, ord, {_structure_sql()} as s from obs) where s is not null")
 def semantic_structural(spark, sf_dir):
-    """Without the one expression that RE2 can't take; ``semantic_score`` has them all."""
-    d = observations(spark, sf_dir).withColumn("low", once(F.lower("normalized_text"))).select("scan_id", "ord", once(D.structure(F.col("normalized_text"), F.col("low"), P.LOOKING_AHEAD)).alias("s")).where("s.score > 0")
+    d = observations(spark, sf_dir).withColumn("low", once(F.lower("normalized_text"))).select("scan_id", "ord", once(D.structure(F.col("normalized_text"), F.col("low"))).alias("s")).where("s.score > 0")
     return d.select("scan_id", "ord", F.col("s.score").alias("score"), F.col("s.label").alias("label"))
 
 
-@query()
+_NAMED = " or ".join(f"contains(low, {quoted(w)})" for w in P.LABELS)
+_SCORED = f"""{_TOKENS}, pos as (select scan_id, ord, unnest(ts) as w, unnest(range(len(ts))) as i from tok),
+    pair as (select a.scan_id, a.ord, max(p.s) as s from (values {_PAIR_TABLE}) as p(x, y, s) join pos a on a.w = p.x join pos b on b.w = p.y and b.scan_id = a.scan_id and b.ord = a.ord and b.i between a.i + 1 and a.i + 4 group by 1, 2),
+    part as (select tok.scan_id, tok.ord, tok.t, tok.low, least(({_OVERLAP}) / 2, 1.0)::double as o, coalesce(pair.s, 0)::double as b, len(list_intersect(ts, [{', '.join(map(quoted, P.SIGNAL))}])) > 0 as g, len(ts) as n, {_structure_sql()} as st, case when low = '' then 0 else len(string_split(low, ' ')) end as words from tok left join pair using (scan_id, ord)),
+    named as (select *, coalesce(st.score, 0)::double as raw, coalesce(st.label, '') as label, case when {_NAMED} then case when words <= 10 then 0.30 else 0.25 end when words <= 8 and {Rx(P.SHORT_TOPIC, 'i').sql('low')} then 0.30 else 0.0 end::double as m from part),
+    shaped as (select *, case when label in ('indirect_query_phrase', 'process_caption') then least(raw, 0.30) when label = 'figstep_colon_topic' and not g then least(raw, 0.35) else raw end::double as structural, n < 2 and not g and m = 0 as nothing from named),
+    scored as (select scan_id, ord, t, low, o as token_overlap, b as bigram, structural, m as misleading_label, case when nothing then 0.0 else greatest(structural, b * 0.9, o * 0.6, m) end::double as score,
+        case when nothing then 'none' when label <> '' and structural >= greatest(b * 0.9, m) then label when m >= greatest(structural, b * 0.9) then 'misleading_label' when b * 0.9 >= o * 0.6 then 'bigram' else 'token_overlap' end as matched from shaped)"""
+
+
+@query(f"{_SCORED} select scan_id, ord, round(token_overlap, 9) as token_overlap, bigram, structural, misleading_label, round(score, 9) as score, matched from scored")
 def semantic_score(spark, sf_dir):
     d = D.with_score(observations(spark, sf_dir), "normalized_text")
-    return d.select("scan_id", "ord", "token_overlap", "bigram", "structural", "misleading_label", "score", "matched")
+    return d.select("scan_id", "ord", F.round("token_overlap", 9).alias("token_overlap"), "bigram", "structural", "misleading_label", F.round("score", 9).alias("score"), "matched")
 
 
-@query()
+_REASONS = "list_concat(['PROMPT_INJECTION'], list_filter([" + ", ".join(f"case when matched in ({', '.join(map(quoted, labels))}) then {quoted(code)} end" for labels, code in P.LABEL_REASONS) + "], lambda x: x is not null))"
+
+
+@query(
+    f"{_SCORED}, {_rule_findings_sql()}, fresh as (select *, row_number() over (partition by scan_id, t order by ord) as k from scored where t <> '' and not exists (select 1 from ruled r where r.scan_id = scored.scan_id and r.ord = scored.ord and r.state = 'CONFIRMED')), "
+    f"kept as (select * from fresh where k = 1 and score >= 0.35 and {_context_sql()} = 'active') "
+    f"select scan_id, printf('finding:%s:semantic:%03d', scan_id, row_number() over (partition by scan_id order by ord) - 1) as finding_id, case when score >= 0.55 then 'HIGHLY_LIKELY' else 'POSSIBLE' end as state, case when score >= 0.55 then 'critical' else 'medium' end as severity, round(score, 9) as detector_confidence, round(least(score, 0.9), 3) as attack_likelihood, array_to_string({_REASONS}, '|') as reason_codes from kept"
+)
 def semantic_findings(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    d = D.semantic(obs, D.prompt_rules(obs))
-    return d.select("scan_id", "finding_id", "state", "severity", "detector_confidence", "attack_likelihood", F.array_join("reason_codes", "|").alias("reason_codes"))
+    d = D.semantic(observations(spark, sf_dir), covered=True)
+    return d.select("scan_id", "finding_id", "state", "severity", F.round("detector_confidence", 9).alias("detector_confidence"), "attack_likelihood", F.array_join("reason_codes", "|").alias("reason_codes"))
 
 
 # ---------------------------------------------------------------- URLs, metadata
@@ -271,7 +361,27 @@ def url_analysis(spark, sf_dir):
 _FIELD_NAMES = ["GPS:GPSLatitude", "XMP:Author", "XMP:History", "XMP:Description", "File:ImageWidth", "XMP:CreatorWorkURL", "EXIF:Serial Number", "IFD0:Note"]
 
 
-@query()
+_FIELD_VALUE = "event_type || ' ' || props"
+
+
+def _metadata_sql() -> str:
+    """The classes of the fixed names, and of values, by the rules' own words."""
+    low = {n: n.rsplit(":", 1)[-1].translate(str.maketrans("", "", " _-")).lower() for n in _FIELD_NAMES}
+
+    def kind(name: str) -> str:
+        k = low[name]
+        fixed = "location_data" if k in T.LOCATION or k.startswith("gps") else "identity_data" if k in T.IDENTITY else "workflow_data" if k in T.WORKFLOW else "provenance_data" if any(p in k for p in T.PROVENANCE) else None
+        if fixed:
+            return quoted(fixed)
+        text = quoted("free_text") if k in T.FREE_TEXT else r"case when length(value) > 40 and regexp_matches(value, '\s') then 'free_text' else 'ordinary_camera_data' end"
+        return f"case when value is null then 'binary_blob' else {text} end"
+
+    cases = " ".join(f"when {quoted(n)} then {kind(n)}" for n in _FIELD_NAMES)
+    rows = f"select event_id, unnest([{', '.join(map(quoted, _FIELD_NAMES))}]) as key, unnest(range({len(_FIELD_NAMES)})) as i, concat_ws(' ', event_type, props) as v from events"
+    return f"select event_id, key, value[1:100000] as value, class, class in ('free_text', 'identity_data', 'workflow_data', 'provenance_data') as emits_text, case class when 'identity_data' then 'IDENTITY_METADATA_PRESENT' when 'location_data' then 'GPS_PRESENT' end as reason from (select *, case key {cases} end as class from (select event_id, key, case when event_id % {len(_FIELD_NAMES)} <> i then v end as value from ({rows})))"
+
+
+@query(_metadata_sql())
 def metadata_fields(spark, sf_dir):
     """Each event as a record whose properties stand for a file's metadata."""
     pairs = [x for i, n in enumerate(_FIELD_NAMES) for x in (F.lit(n), F.when(F.col("event_id") % len(_FIELD_NAMES) != i, F.concat_ws(" ", "event_type", "props")))]
@@ -279,9 +389,9 @@ def metadata_fields(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- evidence
-@query(f"{_with}, n as (select scan_id, ord, low, row_number() over (partition by scan_id, low order by ord) as k from obs) select scan_id, count(*) as n_kept, min(ord) as first_ord, max(ord) as last_ord from n where k = 1 group by 1")
+@query(f"{_with}, n as (select scan_id, ord, low, row_number() over (partition by scan_id, low order by ord) as k from obs) select scan_id, ord, 'sha256:' || sha256(low) as text_sha256 from n where k = 1")
 def merge_observations(spark, sf_dir):
-    return evidence.merge_observations(observations(spark, sf_dir)).groupBy("scan_id").agg(F.count("*").alias("n_kept"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
+    return evidence.merge_observations(observations(spark, sf_dir)).select("scan_id", "ord", T.text_sha256(F.lower("normalized_text")).alias("text_sha256"))
 
 
 @query(
@@ -329,10 +439,10 @@ def execution_rollup(spark, sf_dir):
 
 
 def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events read as findings of their user, for the decision queries."""
+    """Every event read as a finding of its user, for the decision queries. Detectors are chosen by the finding's number, so some have executions but no finding in a scan."""
     e, n = table(spark, sf_dir, "events").where("user_id is not null"), F.col("event_id")
     none = F.lit(None)
-    return e.where(n % 3 == 0).select(
+    return e.select(
         F.concat(F.lit("u"), "user_id").alias("scan_id"), F.format_string("finding:%09d", n).alias("finding_id"), n.alias("ord"), _pick(CATEGORIES, n % 13).alias("category"), F.when(n % 2 == 0, "executable").otherwise("other").alias("type"),
         _pick(STATES, (n * 3) % 8).alias("state"), _pick(SEVERITIES, n % 4).alias("severity"), none.cast("double").alias("detector_confidence"), F.lit(0.5).alias("evidence_quality"), F.when(n % 5 != 0, (n % 10) / 10.0).alias("attack_likelihood"), _pick(SEVERITIES, (n * 3) % 4).alias("impact"),
         F.array().cast("array<string>").alias("source_artifact_ids"), F.array(F.format_string("observation:%d", n % 7)).alias("observation_ids"), F.array(_pick(_DETECTOR_IDS, (n * 3) % len(_DETECTOR_IDS))).alias("detector_ids"), F.array(F.when(n % 2 == 0, "GPS_PRESENT").otherwise("OTHER_REASON")).alias("reason_codes"),
@@ -342,7 +452,7 @@ def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FINDINGS_SQL = f"""find as (select 'u' || user_id as scan_id, printf('finding:%09d', event_id) as finding_id, event_id as ord, {_sql_pick(CATEGORIES, 'event_id % 13')} as category, case when event_id % 2 = 0 then 'executable' else 'other' end as type,
     {_sql_pick(STATES, '(event_id * 3) % 8')} as state, {_sql_pick(SEVERITIES, 'event_id % 4')} as severity, case when event_id % 5 <> 0 then (event_id % 10) / 10.0 end as attack_likelihood, {_sql_pick(SEVERITIES, '(event_id * 3) % 4')} as impact,
-    {_sql_pick(_DETECTOR_IDS, f'(event_id * 3) % {len(_DETECTOR_IDS)}')} as detector_id, case when event_id % 2 = 0 then 'GPS_PRESENT' else 'OTHER_REASON' end as reason_code from events where user_id is not null and event_id % 3 = 0),
+    {_sql_pick(_DETECTOR_IDS, f'(event_id * 3) % {len(_DETECTOR_IDS)}')} as detector_id, case when event_id % 2 = 0 then 'GPS_PRESENT' else 'OTHER_REASON' end as reason_code from events where user_id is not null),
     scans as (select distinct 'u' || user_id as scan_id from events where user_id is not null)"""
 
 
@@ -480,10 +590,10 @@ def representation_kinds(spark, sf_dir):
     return artifacts(spark, sf_dir).groupBy(evidence.representation_kind(F.col("role")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(f"with {ARTIFACTS_SQL} select scan_id, count(*) filter (where ord % 4 = 0) = 0 as coverage_complete, coalesce(string_agg('repr:' || role, '|' order by 'repr:' || role) filter (where ord % 4 = 0), '') as missing_required, count(*) as n_entries from art group by 1")
+@query(f"with {ARTIFACTS_SQL} select scan_id, count(*) filter (where area = 'purchase') = 0 as coverage_complete, coalesce(string_agg('repr:' || role, '|' order by 'repr:' || role) filter (where area = 'purchase'), '') as missing_required, count(*) as n_entries from art group by 1")
 def representation_manifest(spark, sf_dir):
     a = artifacts(spark, sf_dir)
-    return evidence.manifest(a, a.where("ord % 4 <> 0")).withColumn("missing_required", F.array_join("missing_required", "|"))
+    return evidence.manifest(a, a.where("area <> 'purchase'")).withColumn("missing_required", F.array_join("missing_required", "|"))
 
 
 # ---------------------------------------------------------------- graph
@@ -491,14 +601,20 @@ def _graph(spark, sf_dir):
     return artifacts(spark, sf_dir), observations(spark, sf_dir), D.phishing(observations(spark, sf_dir))
 
 
-@query(f"{_with}, {ARTIFACTS_SQL} select 'Artifact' as kind, count(*) as n from art union all select 'Observation', count(*) from obs union all select 'Finding', count(*) from (select {_INDICATORS} as i from obs) where len(i) > 0")
+_PHISHED = f"phished as (select scan_id, ord, printf('observation:%s:%06d', scan_id, ord) as obs, printf('finding:%s:phishing:%03d', scan_id, row_number() over (partition by scan_id order by ord) - 1) as finding from (select scan_id, ord, {_INDICATORS} as i from obs) where len(i) > 0)"
+
+
+@query(f"{_with}, {ARTIFACTS_SQL}, {_PHISHED} select scan_id, artifact_id as id, 'Artifact' as kind from art union all select scan_id, printf('observation:%s:%06d', scan_id, ord), 'Observation' from obs union all select scan_id, finding, 'Finding' from phished")
 def evidence_graph_nodes(spark, sf_dir):
-    return evidence.graph_nodes(*_graph(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
+    return evidence.graph_nodes(*_graph(spark, sf_dir))
 
 
-@query(f"{_with}, {ARTIFACTS_SQL} select 'derived_from' as kind, count(*) as n, count(distinct derived_from) as n_sources from art where derived_from is not null union all select 'observed_in', count(*), count(distinct scan_id) from obs union all select 'supports', 2 * count(*), count(*) + count(distinct scan_id) from (select scan_id, {_INDICATORS} as i from obs) where len(i) > 0")
+@query(
+    f"{_with}, {ARTIFACTS_SQL}, {_PHISHED} select scan_id, derived_from as source, artifact_id as target, 'derived_from' as kind from art where derived_from is not null union all select scan_id, 'artifact:' || scan_id, printf('observation:%s:%06d', scan_id, ord), 'observed_in' from obs "
+    "union all select scan_id, obs, finding, 'supports' from phished union all select scan_id, 'artifact:' || scan_id, finding, 'supports' from phished"
+)
 def evidence_graph_edges(spark, sf_dir):
-    return evidence.graph_edges(*_graph(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"))
+    return evidence.graph_edges(*_graph(spark, sf_dir))
 
 
 @query(f"with {FINDINGS_SQL} select scan_id, case when position('-' in split_part(detector_id, ':', 2)) > 0 then split_part(split_part(detector_id, ':', 2), '-', 1) else split_part(detector_id, ':', 2) end as family, string_agg(finding_id, '|' order by ord) as finding_ids from find group by 1, 2")
@@ -527,18 +643,19 @@ def retention_expired(spark, sf_dir):
     return lifecycle.expired(artifacts(spark, sf_dir), "created_at", _now(), lifecycle.RETENTION["artifacts"]).select("artifact_id")
 
 
-@query(f"with {ARTIFACTS_SQL}, gone as (select distinct scan_id from art where created_at <= {_NOW_SQL} - interval 7 day and ord % 10 = 0) select count(*) as n, count(distinct scan_id) as n_scans from art where scan_id not in (select scan_id from gone)")
+@query(f"with {ARTIFACTS_SQL}, gone as (select distinct scan_id from art where created_at <= {_NOW_SQL} - interval 7 day and area = 'purchase') select scan_id, artifact_id from art where scan_id not in (select scan_id from gone)")
 def delete_scan_cascade(spark, sf_dir):
+    """Purchases stand for the reports whose age decides."""
     a = artifacts(spark, sf_dir)
-    kept = lifecycle.expire_reports({"reports": a.where("ord % 10 = 0"), "artifacts": a}, _now())["artifacts"]
-    return kept.agg(F.count("*").alias("n"), F.countDistinct("scan_id").alias("n_scans"))
+    return lifecycle.expire_reports({"reports": a.where("area = 'purchase'"), "artifacts": a}, _now())["artifacts"].select("scan_id", "artifact_id")
 
 
-@query(f"with {ARTIFACTS_SQL}, held as (select distinct artifact_id from art where ord % 2 = 1 and created_at > {_NOW_SQL} - interval 1 hour) select release_eligible and h.artifact_id is not null as release_eligible, count(*) as n from art left join held h using (artifact_id) group by 1")
+@query(f"with {ARTIFACTS_SQL}, held as (select distinct artifact_id from art where area <> 'view' and created_at > {_NOW_SQL} - interval 1 hour) select artifact_id, release_eligible and h.artifact_id is not null as release_eligible from art left join held h using (artifact_id)")
 def revoke_expired_grants(spark, sf_dir):
+    """Every event but a view stands for a grant of its artifact."""
     a = artifacts(spark, sf_dir)
-    grants = a.where("ord % 2 = 1").select("artifact_id", "created_at")
-    return lifecycle.revoke_expired_grants(a, grants, _now())[0].groupBy("release_eligible").agg(F.count("*").alias("n"))
+    grants = a.where("area <> 'view'").select("artifact_id", "created_at")
+    return lifecycle.revoke_expired_grants(a, grants, _now())[0].select("artifact_id", "release_eligible")
 
 
 @query(f"with {ARTIFACTS_SQL} select storage_reference, artifact_id, created_at from (select *, row_number() over (partition by storage_reference order by created_at desc, ord desc) as k from art) where k = 1")
@@ -554,17 +671,17 @@ def storage_usage_by_area(spark, sf_dir):
     return lifecycle.usage(artifacts(spark, sf_dir), _AREAS, 10_000_000)
 
 
-@query(f"with {ARTIFACTS_SQL} select storage_reference, size_bytes from art where created_at <= {_NOW_SQL} - interval 300 second and storage_reference not in (select storage_reference from art where ord % 3 = 0 and ord % 997 < 400)")
+@query(f"with {ARTIFACTS_SQL} select storage_reference, size_bytes from art where created_at <= {_NOW_SQL} - interval 300 second and storage_reference not in (select storage_reference from art where area = 'purchase')")
 def orphan_files(spark, sf_dir):
     a = artifacts(spark, sf_dir)
     found = a.select("storage_reference", "size_bytes", F.col("created_at").alias("modified_at"))
-    return lifecycle.orphans(found, a.where("ord % 3 = 0 and ord % 997 < 400"), _now()).select("storage_reference", "size_bytes")
+    return lifecycle.orphans(found, a.where("area = 'purchase'"), _now()).select("storage_reference", "size_bytes")
 
 
-@query(f"with {ARTIFACTS_SQL}, r as (select storage_reference, size_bytes, ord, 0 as fresh from art where ord % 2 = 0 union all select storage_reference, size_bytes + 1, ord, 1 from art where ord % 2 = 1) select storage_reference, size_bytes from (select *, row_number() over (partition by storage_reference order by fresh desc, ord desc) as k from r) where k = 1")
+@query(f"with {ARTIFACTS_SQL}, r as (select storage_reference, size_bytes, ord, 0 as fresh from art where area = 'view' union all select storage_reference, size_bytes + 1, ord, 1 from art where area <> 'view') select storage_reference, size_bytes from (select *, row_number() over (partition by storage_reference order by fresh desc, ord desc) as k from r) where k = 1")
 def upsert_last_write(spark, sf_dir):
-    a = artifacts(spark, sf_dir).select("storage_reference", "size_bytes", "ord")
-    return lifecycle.upsert(a.where("ord % 2 = 0"), a.where("ord % 2 = 1").withColumn("size_bytes", F.col("size_bytes") + 1), ["storage_reference"], "ord").select("storage_reference", "size_bytes")
+    a = artifacts(spark, sf_dir).select("storage_reference", "size_bytes", "ord", "area")
+    return lifecycle.upsert(a.where("area = 'view'").drop("area"), a.where("area <> 'view'").drop("area").withColumn("size_bytes", F.col("size_bytes") + 1), ["storage_reference"], "ord").select("storage_reference", "size_bytes")
 
 
 @query("select sha256(text) as sha256, any_value(strlen(text)) as size_bytes, sha256(text)[1:2] || '/' || sha256(text)[3:4] || '/' || sha256(text) as storage_reference from documents where text is not null group by sha256(text)")
@@ -584,8 +701,9 @@ def runtime_percentiles_index(spark, sf_dir):
 
 def labelled_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as expectations; actions by what the privacy detector says of the document."""
-    obs = D.observe(table(spark, sf_dir, "documents"), F.concat(F.lit("d"), "doc_id"), F.lit(0), F.col("text"))
-    decided = policy.decide(obs.select("scan_id").distinct(), D.privacy(obs), ["OCR_EXTRACTION"]).select("scan_id", "action")
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    obs = D.observe(docs, F.concat(F.lit("d"), "doc_id"), F.lit(0), F.col("text"))
+    decided = policy.decide(docs.select(F.concat(F.lit("d"), "doc_id").alias("scan_id")).distinct(), D.privacy(obs), ["OCR_EXTRACTION"]).select("scan_id", "action")
     lab = table(spark, sf_dir, "labels").where("quality is not null and toxic is not null")
     names = F.array(F.when(F.col("quality") == 1, "good").otherwise("poor"), F.when(F.col("toxic") == 1, "toxic").otherwise("clean"))
     d = lab.select(F.concat(F.lit("d"), "doc_id").alias("scan_id"), names.alias("labels"), (F.col("toxic") == 1).alias("must_not_release")).join(decided, "scan_id")
@@ -622,10 +740,10 @@ _HEADS = ["89504e470d0a1a0a", "ffd8ff", "474946383961", "52494646000000005745425
 _NAMES = ["PNG", "JPEG", "GIF", "WEBP", "TIFF", "BMP", "PDF", "SVG", "POSTSCRIPT", "UNKNOWN"]
 
 
-def _blobs(spark, sf_dir) -> DataFrame:
-    """Documents behind the heads of all formats, as stand-ins for files."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    head = F.element_at(F.array(*(F.lit(h) for h in _HEADS)), (F.col("doc_id") % 10 + 1).cast("int"))
+def _blobs(spark, sf_dir, ends: dict[str, str] | None = None) -> DataFrame:
+    """Documents behind the heads of all formats (and their ends, where given), as stand-ins for files."""
+    d = D.spread(table(spark, sf_dir, "documents").where("text is not null"))
+    head = F.element_at(F.array(*(F.lit(h + (ends or {}).get(n, "")) for h, n in zip(_HEADS, _NAMES))), (F.col("doc_id") % 10 + 1).cast("int"))
     return d.select("doc_id", F.concat(F.unhex(head), F.col("text").cast("binary")).alias("content"))
 
 
@@ -635,12 +753,14 @@ def magic_bytes(spark, sf_dir):
     return _blobs(spark, sf_dir).select("doc_id", fmt.alias("format"), files.allowed(fmt).alias("allowed"))
 
 
-@query("select doc_id, case doc_id % 10 when 0 then strlen(text) + 3 when 2 then strlen(split_part(text, ';', -1)) end as trailing from documents where text is not null and (doc_id % 10 = 0 or (doc_id % 10 = 2 and contains(text, ';')))")
+_TAILS = {"PNG": "0000000049454E44AE426082", "JPEG": "FFD9", "GIF": "3B"}
+
+
+@query("select doc_id, case doc_id % 10 when 0 then strlen(text) when 1 then strlen(text) when 2 then strlen(split_part(';' || text, ';', -1)) end as trailing from documents where text is not null")
 def trailing_bytes(spark, sf_dir):
-    mark = F.unhex(F.lit("0000000049454E44AE426082"))
-    d = table(spark, sf_dir, "documents").where("text is not null and (doc_id % 10 = 0 or (doc_id % 10 = 2 and contains(text, ';')))")
-    body = F.when(F.col("doc_id") % 10 == 0, F.concat(mark, F.lit("abc").cast("binary"), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))
-    return d.select("doc_id", files.trailing_bytes(body, F.when(F.col("doc_id") % 10 == 0, "PNG").otherwise("GIF")).alias("trailing"))
+    """Each document behind the head and the end of its format; a text's own semicolon ends a GIF once more."""
+    blobs = _blobs(spark, sf_dir, _TAILS)
+    return blobs.select("doc_id", files.trailing_bytes(F.col("content"), files.format_of(F.col("content"))).alias("trailing"))
 
 
 @query("select doc_id, case when doc_id % 3 = 0 then 'test_string' when doc_id % 3 = 1 then 'embedded_script' else '' end as rules from documents where text is not null")
@@ -651,6 +771,9 @@ def byte_signatures(spark, sf_dir):
     return d.select("doc_id", F.array_join(files.signatures(content), "|").alias("rules"))
 
 
-@query()
+@query(
+    f"with b as (select doc_id, {_sql_pick(_HEADS, 'doc_id % 10')} || lower(hex(encode(text))) as h from documents where text is not null), c as (select doc_id, len(h) // 2 as n, unnest(list_transform(range(len(h) // 2), lambda i: h[2 * i + 1 : 2 * i + 2])) as x from b), "
+    "k as (select doc_id, any_value(n) as n, x, count(*) as m from c group by doc_id, x) select doc_id, round(-sum(m / n * log2(m / n)), 6) + 0.0 as bits from k group by doc_id"
+)
 def byte_entropy(spark, sf_dir):
     return _blobs(spark, sf_dir).select("doc_id", F.round(files.byte_entropy("content"), 6).alias("bits"))
