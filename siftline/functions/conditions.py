@@ -105,7 +105,7 @@ def literals(words: tuple[str, ...]) -> Column:
 
 def has_any(c: Column, words: tuple[str, ...]) -> Column:
     if len(words) > 3:
-        return F.exists(literals(words), lambda w: F.contains(c, w))
+        return let(c, lambda x: F.exists(literals(words), lambda w: F.contains(x, w)))  # else ``c`` would be computed for each word
     return reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for w in words))
 
 

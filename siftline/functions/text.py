@@ -8,6 +8,7 @@ Arrow function.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from functools import reduce
 from urllib.parse import unquote
@@ -15,13 +16,11 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .conditions import Condition, Has, Rx, case, holds, let, needed, once
 from .patterns import CANARY
 
-ZERO_WIDTH = r"[\u200B-\u200D\uFEFF]"
-BIDI = r"[\u202A-\u202E\u2066-\u2069]"
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -31,16 +30,10 @@ def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf(StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unquote(html.unescape(t)))
-
-
 #: Characters that composition leaves alone, whatever stands beside them: ASCII, precomposed letters, common punctuation, syllables, ideographs.
 STABLE = r"\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff\u2012-\u2016\u2018-\u201f\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
-#: White space as Unicode has it, and the four separators that Python counts as such.
-_SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_OTHER_SPACE = _SPACE.replace(r"\x1c-\x20", r"\x1c-\x1f")
+#: White space of ASCII other than the blank, with the four separators that Python counts as such.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 
 
 def composed(c: Column) -> Column:
@@ -49,30 +42,42 @@ def composed(c: Column) -> Column:
     return F.when(same, c).otherwise(_compose(F.when(~same, c)))
 
 
-def collapsed(c: Column) -> Column:
-    """Each run of white space as one blank, none at the margins; a single blank is left as it is."""
-    return F.trim(F.regexp_replace(c, rf" *+[{_OTHER_SPACE}][{_SPACE}]*+|  [{_SPACE}]*+", " "))
+def _blanks(c: Column) -> Column:
+    return F.when(c.rlike(r"[\t-\r\x1c-\x1f]"), F.translate(c, _SPACES, " " * len(_SPACES))).otherwise(c)
+
 
+def _single(c: Column) -> Column:
+    return F.trim(F.when(F.contains(c, F.lit("  ")), F.regexp_replace(c, " {2,}", " ")).otherwise(c))
 
-def shown(first: Column) -> Column:
-    """struct(text, zero_width_found, bidi_found): a composed text without invisible characters."""
-    hidden = first.rlike(rf"{ZERO_WIDTH[:-1]}{BIDI[1:]}")
-    bare = F.regexp_replace(F.regexp_replace(first, ZERO_WIDTH, ""), BIDI, "")
-    found = F.struct(bare.alias("text"), first.rlike(ZERO_WIDTH).alias("zero_width_found"), first.rlike(BIDI).alias("bidi_found"))
-    return F.when(hidden, found).otherwise(F.struct(first.alias("text"), F.lit(False).alias("zero_width_found"), F.lit(False).alias("bidi_found")))
 
+_NORMAL = StructType([StructField("normalized", StringType()), StructField("zero_width_found", BooleanType()), StructField("bidi_found", BooleanType())])
+_BLANK_RUN = re.compile(r"\s+")
+_ZERO, _BIDI = re.compile("[\u200b-\u200d\ufeff]"), re.compile("[\u202a-\u202e\u2066-\u2069]")
 
-def plain(seen: Column) -> Column:
-    """Entities and percent escapes decoded; texts without either stay in the JVM."""
-    special = F.contains(seen, F.lit("&")) | F.contains(seen, F.lit("%"))
-    return F.when(special, _unescape(F.when(special, seen))).otherwise(seen)
+
+@F.pandas_udf(_NORMAL)
+def _whole(texts: pd.Series) -> pd.DataFrame:
+    def one(t: str | None) -> tuple[str | None, bool | None, bool | None]:
+        if t is None:
+            return None, None, None
+        t = unicodedata.normalize("NFKC", t)
+        zero, bidi = bool(_ZERO.search(t)), bool(_BIDI.search(t))
+        return _BLANK_RUN.sub(" ", unquote(html.unescape(_BIDI.sub("", _ZERO.sub("", t))))).strip(), zero, bidi
+
+    return pd.DataFrame([one(t) for t in texts], columns=["normalized", "zero_width_found", "bidi_found"])
 
 
 def normalize(rows: DataFrame, text_col: str, into: str) -> DataFrame:
-    """Adds ``into``, a struct(normalized, zero_width_found, bidi_found) of a text: composed, without invisible characters, entities and escapes decoded, white space collapsed. Each step is done once."""
-    d = rows.withColumn("__c", once(composed(F.col(text_col)))).withColumn("__s", once(shown(F.col("__c")))).withColumn("__p", once(plain(F.col("__s.text"))))
-    got = F.struct(collapsed(F.col("__p")).alias("normalized"), F.col("__s.zero_width_found").alias("zero_width_found"), F.col("__s.bidi_found").alias("bidi_found"))
-    return d.withColumn(into, once(got)).drop("__c", "__s", "__p")
+    """Adds ``into``, a struct(normalized, zero_width_found, bidi_found) of a text: composed, without invisible characters, entities and escapes decoded, white space collapsed.
+
+    Only texts that may need what Spark lacks (composition, entities, escapes) go through Python, once and whole.
+    """
+    c, hard = F.col(text_col), F.col("__hard")
+    d = rows.withColumn("__hard", once(~c.rlike(rf"\A(?:[\x00-\x7f]++|[{STABLE}])*+\z") | F.contains(c, F.lit("&")) | F.contains(c, F.lit("%"))))
+    # what is left alone by composition has no invisible characters, and no white space beyond ASCII's
+    d = d.withColumn("__blank", once(F.when(~hard, _blanks(c))))
+    easy = F.struct(_single(F.col("__blank")).alias("normalized"), F.lit(False).alias("zero_width_found"), F.lit(False).alias("bidi_found"))
+    return d.withColumn(into, once(F.when(hard, _whole(F.when(hard, c))).when(c.isNotNull(), easy))).drop("__hard", "__blank")
 
 
 # ---------------------------------------------------------------- bounded decoding
@@ -312,4 +317,4 @@ def privacy_reason(kind: Column) -> Column:
 
 
 def first_nonempty_line(c: Column) -> Column:
-    return F.get(F.filter(F.transform(F.split(c, r"\r\n|\r|\n"), F.trim), lambda x: x != ""), 0)
+    return F.get(F.filter(F.transform(F.split(c, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != ""), 0)

@@ -61,8 +61,8 @@ class Text(NamedTuple):
     composed: Column  # in lower case
 
 
-def _prepared(c: Column) -> Column:
-    return once(F.struct(F.lower(c).alias("low"), folded(c).alias("fold"), F.lower(T.composed(c)).alias("composed")))
+def _prepared(c: Column, composed: bool = True) -> Column:
+    return once(F.struct(F.lower(c).alias("low"), folded(c).alias("fold"), (F.lower(T.composed(c)) if composed else F.lit(None).cast("string")).alias("composed")))
 
 
 def _text(c: Column, prepared: str) -> Text:
@@ -79,7 +79,8 @@ def _row(what: str, detector: str, place: int, *, k: Column | int, category: str
 
 def find(observations: DataFrame, *detectors: Callable[[Text], Column], first_order: bool = True) -> DataFrame:
     """The findings of the detectors, in one pass over the texts; ordered by detector, then as the observations are."""
-    rows = observations.withColumn("__t", _prepared(F.col("normalized_text")))
+    plain = {privacy_rows, phishing_rows, watermark_rows, prompt_rows}  # these don't look at the composed text
+    rows = observations.withColumn("__t", _prepared(F.col("normalized_text"), not set(detectors) <= plain))
     seen = _text(F.col("normalized_text"), "__t")
     rows = rows.select("scan_id", "observation_id", "source_artifact_id", F.col("ord").alias("__o"), F.explode(F.concat(*(d(seen) for d in detectors))).alias("f"))
     repeated = F.row_number().over(Window.partitionBy("scan_id", "f.what", "f.once_key").orderBy("__o"))
@@ -289,7 +290,7 @@ def misleading_label(low: Column) -> Column:
 def score(t: Text) -> Column:
     """struct(token_overlap, bigram, structural, misleading_label, matched, score)."""
     signal = literals(tuple(P.SIGNAL))
-    parts = let(tokens_of(t.composed), lambda w: F.struct(token_overlap(w).alias("o"), pair_score(w).alias("b"), let(known(w), lambda have: F.arrays_overlap(have, signal)).alias("g"), F.size(w).alias("n"), structure(t.text, t.low, fold=t.fold).alias("s"), misleading_label(stripped(t.text)).alias("m")))
+    parts = let(tokens_of(t.composed), lambda w: F.struct(token_overlap(w).alias("o"), pair_score(w).alias("b"), let(known(w), lambda have: F.arrays_overlap(have, signal)).alias("g"), F.size(w).alias("n"), structure(t.text, t.low, fold=t.fold).alias("s"), let(stripped(t.text), misleading_label).alias("m")))
     return let(parts, _combined)
 
 

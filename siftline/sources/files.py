@@ -19,7 +19,8 @@ FORMATS = ("JPEG", "PNG", "WEBP", "GIF", "TIFF", "BMP")
 def read_files(spark: SparkSession, path: str, glob: str | None = None, most_bytes: int = MOST_INPUT_BYTES) -> DataFrame:
     """(path, size_bytes, content, sha256, accepted): content only of files that aren't empty nor over the limit.
 
-    The source drops files by their length before it reads them, so what is refused is never loaded.
+    The source drops files by their length before it reads them, so what is refused is never loaded. Empty
+    files give no row at all (Spark's source leaves them out).
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
