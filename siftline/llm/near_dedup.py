@@ -4,12 +4,13 @@ A text's fingerprint has 128 bits: the signs of the summed random signs of its d
 words, each weighted ``1 + ln(count)``. Two texts are close if their fingerprints differ in at most
 ``MOST_BITS`` bits; a group is a connected component of close texts.
 
-Candidates: the 128 bits are cut into 11 blocks of 11 or 12 bits, and each of the 55 pairs of blocks
-is a join key of 22 to 24 bits. By the pigeonhole principle texts within 9 bits share a pair of
-blocks for certain; at 10 to 16 bits, where the differing bits would have to touch ten blocks or more
-to be missed, most do (see the test's recall). Every pair of fingerprints within a key is decided by
-its Hamming distance: no candidate is capped. Within a key only the edges of a spanning forest are
-emitted, which gives the same groups as all pairs would, so a group of n copies costs O(n) edges.
+Candidates: the 128 bits are cut into six blocks of 21 or 22 bits (more blocks where ``most_bits`` is
+above 17). Of two fingerprints within 17 bits, one block at least differs in two bits or fewer, by the
+pigeonhole principle. Each fingerprint is sent to its own value of each block and to every value one
+bit away (134 keys in all), where two blocks that differ in two bits meet halfway: **no close pair is
+missed**. Every pair of fingerprints within a key is decided by its Hamming distance: no candidate is
+capped. Of the close pairs only edges that connect the same nodes are emitted, which gives the same
+groups as all pairs would, so a group of n copies costs O(n) edges.
 Blocks, edges and components are of distinct fingerprints; documents meet them at the very end, so a
 text that a third of all rows share is one node without an edge of its own.
 
@@ -23,7 +24,6 @@ result. Other columns are never read by ``near_groups``; ``keep_one`` keeps them
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,8 @@ from .shared import U64, durable, mix, pieces, small_side, span_hashes, utf8, wo
 
 BITS = 128
 MOST_BITS = 16
-WIDTHS = (12,) * 7 + (11,) * 4
-_PAIRS = list(combinations(range(len(WIDTHS)), 2))
+#: Keys with at most so many rows are compared side by side, larger ones by a search from row to row.
+_SIDE_BY_SIDE = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -89,18 +89,30 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(_fingerprint_batches, "doc_id long, hi long, lo long")
 
 
-def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
-            hi, lo, node = (batch.column(c).to_numpy() for c in ("hi", "lo", "node"))
-            bits = np.unpackbits(np.stack([hi, lo], 1).view(np.uint8), axis=1).astype(np.int64)
-            blocks, at_bit = [], 0
-            for width in WIDTHS:
-                blocks.append(bits[:, at_bit : at_bit + width] @ (1 << np.arange(width)))
-                at_bit += width
-            key = np.concatenate([(k << 24) | (blocks[a] << 12) | blocks[b] for k, (a, b) in enumerate(_PAIRS)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.tile(x, len(_PAIRS))) for x in (node, hi, lo))], ["key", "node", "hi", "lo"])
+def block_widths(most: int) -> list[int]:
+    """Widths of the blocks of which one differs in two bits at most between any fingerprints within ``most`` bits."""
+    n = max(6, min(most, BITS) // 3 + 1)  # three differing bits in each block are more than ``most``
+    return [BITS // n + (k < BITS % n) for k in range(n)]
+
+
+def _block_batches(most: int):
+    widths = block_widths(most)
+    copies = sum(widths) + len(widths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                hi, lo, node = (batch.column(c).to_numpy() for c in ("hi", "lo", "node"))
+                bits = np.unpackbits(np.stack([hi, lo], 1).view(np.uint8), axis=1).astype(np.int64)
+                keys, at_bit = [], 0
+                for k, width in enumerate(widths):
+                    own = (k << 24) | (bits[:, at_bit : at_bit + width] @ (1 << np.arange(width)))
+                    keys += [own, *(own ^ (1 << i) for i in range(width))]
+                    at_bit += width
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(pa.array(np.tile(x, copies)) for x in (node, hi, lo))], ["key", "node", "hi", "lo"])
+
+    return run
 
 
 def _forest(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, most: int) -> list[np.ndarray]:
@@ -121,19 +133,35 @@ def _forest(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, most: int) -> list
 
 
 def edges_of_keys(key: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarray, most: int) -> np.ndarray:
-    """Edges among close rows of each key; rows are sorted by key."""
+    """Edges that connect the nodes which the close pairs of all keys connect; rows are sorted by key."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
     out = [np.zeros((0, 2), np.int64)]
-    for n in range(2, 9):
-        at = first[size == n]
-        for i, j in combinations(range(n), 2):
-            a, b = at + i, at + j
-            near = np.bitwise_count(hi[a] ^ hi[b]) + np.bitwise_count(lo[a] ^ lo[b]) <= most
-            out.append(np.stack([node[a[near]], node[b[near]]], 1))
-    for at, n in zip(first[size > 8], size[size > 8]):
+    after = np.repeat(first + size, size) - np.arange(len(key))  # rows of the key from this one on
+    a, step = np.flatnonzero(np.repeat(size <= _SIDE_BY_SIDE, size)), 1
+    while len(a := a[after[a] > step]):
+        b = a + step
+        near = np.bitwise_count(hi[a] ^ hi[b]) + np.bitwise_count(lo[a] ^ lo[b]) <= most
+        out.append(np.stack([node[a[near]], node[b[near]]], 1))
+        step += 1
+    for at, n in zip(first[size > _SIDE_BY_SIDE], size[size > _SIDE_BY_SIDE]):
         out += _forest(node[at : at + n], hi[at : at + n], lo[at : at + n], most)
-    return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+    return _star_edges(np.concatenate(out))
+
+
+def _star_edges(edges: np.ndarray) -> np.ndarray:
+    """(least node, node) for each other node of each connected component."""
+    names, at = np.unique(edges, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(names))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (up := root[root])).any():
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    tied = np.flatnonzero(root != np.arange(len(names)))
+    return np.stack([names[root[tied]], names[tied]], 1)
 
 
 def _edge_batches(most: int):
@@ -193,7 +221,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = docs.select(_ids(id_col).alias("doc_id")).where("doc_id is not null").distinct()
     fp = durable(fingerprint(docs, id_col, text_col))
     nodes = fp.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"))
-    keys = nodes.mapInArrow(_block_batches, "key long, node long, hi long, lo long")
+    keys = nodes.mapInArrow(_block_batches(most_bits), "key long, node long, hi long, lo long")
     close = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_edge_batches(most_bits), "a long, b long")
     of = durable(fp.join(nodes, ["hi", "lo"]).groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")))
     # texts of one doc_id belong together, however they differ; of three or more, all are tied to the least
