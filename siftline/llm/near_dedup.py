@@ -36,6 +36,8 @@ BITS = 128
 MOST_BITS = 16
 #: Keys with at most so many rows are compared side by side, larger ones by a search from row to row.
 _SIDE_BY_SIDE = 256
+#: Rows of keys that a task sorts, about (some 40 MB); in at most so many tasks, of which larger ones spill.
+_TASK_ROWS, _MOST_TASKS = 300_000, 20_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -101,8 +103,8 @@ def _block_batches(most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
                 hi, lo, node = (batch.column(c).to_numpy() for c in ("hi", "lo", "node"))
                 bits = np.unpackbits(np.stack([hi, lo], 1).view(np.uint8), axis=1).astype(np.int64)
                 keys, at_bit = [], 0
@@ -222,7 +224,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fp = durable(fingerprint(docs, id_col, text_col))
     nodes = fp.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"))
     keys = nodes.mapInArrow(_block_batches(most_bits), "key long, node long, hi long, lo long")
-    close = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_edge_batches(most_bits), "a long, b long")
+    n_rows = fp.count() * (BITS + len(block_widths(most_bits)))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, min(n_rows // _TASK_ROWS, _MOST_TASKS))
+    close = keys.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_edge_batches(most_bits), "a long, b long")
     of = durable(fp.join(nodes, ["hi", "lo"]).groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other")))
     # texts of one doc_id belong together, however they differ; of three or more, all are tied to the least
     again = of.where("node <> other").select("doc_id", F.col("node").alias("b"))
